@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.operators.numbering import running_totals
+from repoquarry.session import explode_all
 
 UNIT = ["repo_url", "label", "unit"]
 
@@ -29,7 +30,7 @@ def first_of_equals(units: DataFrame, groups: DataFrame) -> DataFrame:
         groups.select("repo_url", "label", "first_rel"), ["repo_url", "label"]
     )
     chunks = placed.select(
-        "repo_url", "first_rel", "label", "unit", F.posexplode("digests").alias("pos", "digest")
+        "repo_url", "first_rel", "label", "unit", explode_all(F.col("digests")).alias("pos", "digest")
     )
     winners = chunks.groupBy("repo_url", "digest").agg(
         F.min(F.struct("first_rel", "label", "unit", "pos")).alias("at")
@@ -64,7 +65,7 @@ def kept_chunks(units: DataFrame, numbered: DataFrame) -> DataFrame:
         units.drop("digests")
         .join(numbered.drop("first_rel"), UNIT)
         .select(
-            *own, "first_index", "chunks_before", "total_chunks", F.posexplode(taken).alias("nth", "c")
+            *own, "first_index", "chunks_before", "total_chunks", explode_all(taken).alias("nth", "c")
         )
         .select(
             *own,
@@ -79,7 +80,7 @@ def kept_chunks(units: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def duplicate_counts(units: DataFrame) -> DataFrame:
     """Chunks, distinct chunks and duplicates per repository."""
-    each = units.select("repo_url", F.explode("digests").alias("digest"))
+    each = units.select("repo_url", explode_all(F.col("digests")).alias("pos", "digest"))
     copies = each.groupBy("repo_url", "digest").count()
     return copies.groupBy("repo_url").agg(
         F.sum("count").alias("chunks"),

@@ -143,16 +143,9 @@ def embed_column(
     embedder: Embedder,
     batch_size: int = 32,
     on_error: str = "fail",
-    partitions: int | None = None,
-    key: str | None = None,
 ) -> DataFrame:
-    """Add `embedding` and `embed_error`.
-
-    `partitions` bounds how many requests run at once; rows are then spread by the
-    hash of `key`, which keeps a retried task on the same rows.
-    """
-    if partitions:
-        docs = docs.repartition(partitions, key or text)
+    """Add `embedding` and `embed_error`. As many requests run at once as the input
+    has partitions and the cluster has slots."""
     result = embedding_of(F.col(text), embedder, batch_size, on_error == "fail")
     return (
         docs.withColumn("_e", result)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.operators.numbering import number_rows, running_totals
 from repoquarry.params import NO_LANGUAGE
-from repoquarry.session import let
+from repoquarry.session import explode_all, let
 
 GROUP = ["repo_url", "label"]
 
@@ -56,7 +56,7 @@ def group_lines(texts: DataFrame) -> DataFrame:
         *GROUP,
         "rel",
         "first_line",
-        F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
+        explode_all(F.split("text", "\n", -1)).alias("pos", "line"),
     ).select(*GROUP, "rel", (F.col("first_line") + F.col("pos")).alias("line_no"), "line")
 
 
@@ -79,16 +79,14 @@ def group_line_windows(texts: DataFrame, lines: int, overlap: int) -> DataFrame:
             k.alias("window"), F.array_join(F.slice(own, start + 1, end - start), "\n").alias("t")
         )
 
-    parts = F.when(
-        low <= high,
-        let(
-            F.split("text", "\n", -1),
-            lambda own: F.transform(F.sequence(low, high), lambda k: part(own, k)),
-        ),
+    # Every line is in some window, so there is always at least one part.
+    parts = let(
+        F.split("text", "\n", -1),
+        lambda own: F.transform(F.sequence(low, high), lambda k: part(own, k)),
     )
     return (
         _with_offsets(texts)
-        .select(*GROUP, "first_line", F.explode(parts).alias("p"))
+        .select(*GROUP, "first_line", explode_all(parts).alias("nth", "p"))
         .groupBy(*GROUP, F.col("p.window").alias("window"))
         .agg(F.sort_array(F.collect_list(F.struct("first_line", "p.t"))).alias("parts"))
         .select(

@@ -40,7 +40,7 @@ from repoquarry.params import (
     IndexParams,
 )
 from repoquarry.sources.documents import as_documents, one_document
-from repoquarry.sources.index_table import COLUMNS, IndexTable
+from repoquarry.sources.index_table import REFUSED, IndexTable
 from repoquarry.sources.repo_files import list_files, read_files
 from repoquarry.session import materialise
 
@@ -54,7 +54,7 @@ class Chunked:
     chunks: DataFrame  # documents: content, meta and `ordinal`, the overall order
     summary: DataFrame  # a row of counts per repository
     failures: DataFrame  # files that could not be read, with the error
-    group_files: DataFrame  # every path of every language group
+    group_files: DataFrame | None  # in group scope, every path of every group
 
 
 def _line_language(label: Column) -> Column:
@@ -134,8 +134,9 @@ def build_chunks(files: DataFrame, params: IndexParams = IndexParams()) -> Chunk
         "chunks",
         "digests",
     )
-    members = group_files(kept)
+    members = None
     if params.scope == "group":
+        members = group_files(kept)
         lines = _group_units(kept.where(_line_language(F.col("label"))), params)
         units = units.unionByName(materialise(lines, "windows"))
     numbered = number_kept(first_of_equals(units, language_groups(kept)))
@@ -240,7 +241,7 @@ def ingest(
         ids = rows.select("seq", "id")
     else:
         slim = good.select("seq", "id")
-        ids = materialise(assign_ids(slim, manifest.max_id, ["seq"]), "ids")
+        ids = assign_ids(slim, manifest.max_id, ["seq"])
         rows = good.drop("id").join(ids, "seq")
 
     touched: list[int] = []
@@ -255,17 +256,7 @@ def ingest(
             survivors = survivors.join(replaced, "repo_url", "left_anti")
         _check_ids(table, ids, survivors)
 
-    rows = embed_column(
-        rows,
-        "content",
-        embedder,
-        params.batch_size,
-        params.on_error,
-        params.embed_partitions,
-        key="id",
-    )
     now = local_now()
-    rows = rows.withColumn("content", remove_nul(F.col("content")))
     rows = rows.withColumn("created_at", now).withColumn("updated_at", now)
     if touched:
         old = table.read(manifest).where(F.col("repo_bucket").isin(touched))
@@ -275,35 +266,43 @@ def ingest(
             .withColumn("created_at", F.coalesce("since", "created_at"))
             .drop("since")
         )
-    rows = materialise(rows, "embedded")
-    bad = rows.where(F.col("embed_error").isNotNull()).select("seq", "embed_error")
-    fresh = rows.where(F.col("embed_error").isNull()).select(*COLUMNS)
-    stored = fresh.count()
-    deleted = kept = 0
-    everything = fresh
-    if touched:
-        survivors = table.without(replaced, manifest, touched).select(*COLUMNS)
-        everything = fresh.unionByName(survivors)
-        kept = survivors.count()
-        deleted = table.read(manifest).where(F.col("repo_bucket").isin(touched)).count() - kept
-    run = table.write_run(everything, manifest.buckets)
-    written = table.read_run(run)
+    # Texts are laid out before they are embedded, so that vectors, which are larger,
+    # are written where they were made and never shuffled.
+    rows = table.laid_out(rows, manifest.buckets, params.embed_partitions)
+    rows = embed_column(rows, "content", embedder, params.batch_size, params.on_error)
+    run = table.write_run(rows.withColumn("content", remove_nul(F.col("content"))))
+
+    refused = F.col("repo_bucket") == REFUSED
     wrong = F.col("embedding").isNull() | (F.size("embedding") != manifest.dim)
+    written = table.read_run(run)
     counts = written.agg(
-        F.count("*").alias("n"),
-        F.count_if(wrong).alias("wrong"),
+        F.count("*").alias("all"),
+        F.count_if(~refused).alias("stored"),
+        F.count_if(~refused & wrong).alias("wrong"),
         F.coalesce(F.max("id"), F.lit(0)).alias("max_id"),
     ).first()
-    if counts.n != stored + kept or (counts.wrong and not touched):
+    expected = good.count()
+    if counts["all"] != expected or counts.wrong:
         table.discard_run(run)
-        raise RuntimeError(f"{counts.n} of {stored + kept} rows written, {counts.wrong} without vector")
-    table.publish_run(run, manifest, counts.max_id, touched)
-    refused = staged.where(F.col("error").isNotNull())
-    refused = refused.unionByName(
-        staged.drop("error").join(bad.withColumnRenamed("embed_error", "error"), "seq")
+        raise RuntimeError(
+            f"{counts['all']} of {expected} rows written, {counts.wrong} without a vector"
+        )
+    deleted, runs = 0, [run]
+    if touched:
+        runs.append(table.write_survivors(replaced, manifest, touched))
+        deleted = table.rows_in(touched, manifest) - table.read_run(runs[1]).count()
+    table.publish_runs(runs, manifest, counts.max_id, touched)
+
+    failed = written.where(refused).select("id", "embed_error").join(ids, "id")
+    quarantine = staged.where(F.col("error").isNotNull()).unionByName(
+        staged.drop("error").join(failed.select("seq", F.col("embed_error").alias("error")), "seq")
+    )
+    return Ingested(
+        ids=ids.join(failed.select("seq"), "seq", "left_anti").orderBy("seq"),
+        stored=counts.stored,
+        deleted=deleted,
+        quarantine=quarantine,
     )
-    stored_ids = ids.join(bad, "seq", "left_anti")
-    return Ingested(ids=stored_ids.orderBy("seq"), stored=stored, deleted=deleted, quarantine=refused)
 
 
 def ingest_one(

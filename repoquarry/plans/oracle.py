@@ -499,13 +499,14 @@ knn_top2 = _knn("(SELECT * FROM embeddings WHERE vec_id = 0)", 2)
 knn_batch = _knn("embeddings", 5)
 knn_threshold = _knn("embeddings", 10, 0.6)
 knn_unembedded = """
-WITH r AS (SELECT vec_id, CASE WHEN label = 3 THEN embedding END AS embedding FROM embeddings),
+WITH r AS (SELECT vec_id, CASE WHEN embedding[1] > 0.33::DOUBLE THEN embedding END AS embedding
+           FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, r.vec_id AS id,
              list_cosine_distance(r.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
       FROM r, embeddings q)
 SELECT query_id, id, round(d, 6) AS distance,
        row_number() OVER (PARTITION BY query_id ORDER BY d NULLS LAST, id) AS rank
-FROM d"""
+FROM d QUALIFY rank <= 10"""
 
 render_results = f"""
 WITH found AS ({_knn("(SELECT * FROM embeddings WHERE label <> 2)", 2)}),

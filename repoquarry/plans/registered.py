@@ -17,7 +17,7 @@ from repoquarry.params import SOURCE_STAMP, IndexParams
 from repoquarry.plans import derived, jobs, oracle
 from repoquarry.plans.derived import commit_of, file_rows, repo_texts, table
 from repoquarry.schemas import META_SCHEMA
-from repoquarry.session import scratch_path
+from repoquarry.session import explode_all, scratch_path
 from repoquarry.sources import repo_files
 from repoquarry.sources.documents import as_documents
 from repoquarry.sources.index_table import IndexTable
@@ -213,7 +213,7 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _exploded(docs: DataFrame, chunks: Column, *keys: str) -> DataFrame:
-    return docs.select(*keys, F.posexplode(chunks).alias("pos", "chunk")).withColumn(
+    return docs.select(*keys, explode_all(chunks).alias("pos", "chunk")).withColumn(
         "pos", big("pos")
     )
 
@@ -475,8 +475,9 @@ def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.knn_unembedded)
 def knn_unembedded(spark: SparkSession, sf: str) -> DataFrame:
     rows, queries = _vectors(spark, sf)
-    some = rows.withColumn("embedding", F.when(F.col("label") == 3, F.col("embedding")))
-    return _shown(search.nearest(some, queries, k=rows.count(), keep_unembedded=True))
+    outlier = F.get("embedding", F.lit(0)) > 0.33
+    some = rows.withColumn("embedding", F.when(outlier, F.col("embedding")))
+    return _shown(search.nearest(some, queries, k=10, keep_unembedded=True))
 
 
 @query()
@@ -637,7 +638,7 @@ def search_index(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
     found = jobs.search(index, asked, k=2)
-    return _shown(found.withColumn("id", F.col("id"))).join(
+    return _shown(found).join(
         found.select("query_id", "id", "repo_url", F.sha2("content", 256).alias("digest")),
         ["query_id", "id"],
     )

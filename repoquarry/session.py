@@ -65,6 +65,12 @@ def task_count(spark: SparkSession) -> int:
     )
 
 
+def explode_all(array: Column) -> Column:
+    """Generator for arrays known to have entries. The plain form makes the optimizer
+    add a filter against empty arrays, which computes the array a second time."""
+    return F.posexplode_outer(array)
+
+
 def let(value: Column, body) -> Column:
     """Bind `value` once and use it many times inside `body`.
 

@@ -32,7 +32,9 @@ _STORED = T.StructType(
         T.StructField("repo_bucket", T.IntegerType()),
     ]
 )
+_WRITTEN = T.StructType([*_STORED.fields, T.StructField("embed_error", T.StringType())])
 COLUMNS = INDEX_SCHEMA.fieldNames()
+REFUSED = -1  # bucket of rows that got no embedding
 
 
 @dataclass
@@ -89,9 +91,7 @@ class IndexTable:
         live = reduce(
             or_,
             [
-                (F.col("run") == run) & ~F.col("repo_bucket").isin(dead)
-                if dead
-                else F.col("run") == run
+                (F.col("run") == run) & ~F.col("repo_bucket").isin([REFUSED, *dead])
                 for run, dead in manifest.runs.items()
             ],
         )
@@ -132,17 +132,30 @@ class IndexTable:
 
     # --- writing ---
 
-    def write_run(self, rows: DataFrame, buckets: int) -> str:
-        """Write rows with the columns of the index as a run that does not count yet.
+    def laid_out(self, rows: DataFrame, buckets: int, tasks: int | None = None) -> DataFrame:
+        """Rows spread as the table stores them, with `repo_bucket`.
 
         The rebalance hint lets Spark split a bucket that one large repository fills
-        and merge small ones; within a file rows are in order of id.
+        and merge small ones. With `tasks`, ranges of bucket and id make that many
+        even parts instead.
         """
+        rows = rows.withColumn("repo_bucket", repo_bucket(F.col("repo_url"), buckets))
+        if tasks:
+            return rows.repartitionByRange(tasks, "repo_bucket", "id")
+        return rows.hint("rebalance", "repo_bucket")
+
+    def write_run(self, laid_out: DataFrame) -> str:
+        """Write laid-out rows as a run that does not count yet. Rows with an
+        `embed_error` go to a folder of their own, which readers leave out."""
         run = uuid.uuid4().hex
+        if "embed_error" not in laid_out.columns:
+            laid_out = laid_out.withColumn("embed_error", F.lit(None).cast("string"))
+        refused = F.col("embed_error").isNotNull()
         (
-            rows.select(*COLUMNS)
-            .withColumn("repo_bucket", repo_bucket(F.col("repo_url"), buckets))
-            .hint("rebalance", "repo_bucket")
+            laid_out.withColumn(
+                "repo_bucket", F.when(refused, REFUSED).otherwise(F.col("repo_bucket"))
+            )
+            .select(*COLUMNS, "embed_error", "repo_bucket")
             .sortWithinPartitions("repo_bucket", "id")
             .write.partitionBy("repo_bucket")
             .parquet(f"{self.path}/data/run={run}")
@@ -150,8 +163,9 @@ class IndexTable:
         return run
 
     def read_run(self, run: str) -> DataFrame:
+        """All rows of a run with their `embed_error` and bucket."""
         return (
-            self.spark.read.schema(_STORED)
+            self.spark.read.schema(_WRITTEN)
             .option("basePath", f"{self.path}/data")
             .parquet(f"{self.path}/data/run={run}")
             .drop("run")
@@ -160,15 +174,19 @@ class IndexTable:
     def discard_run(self, run: str) -> None:
         delete_path(self.spark, f"{self.path}/data/run={run}")
 
-    def publish_run(self, run: str, manifest: Manifest, max_id: int, dead: list[int] = ()) -> None:
-        """Make a run count, and the buckets it rewrote dead in the older runs."""
+    def publish_runs(
+        self, new: list[str], manifest: Manifest, max_id: int, dead: list[int] = ()
+    ) -> None:
+        """Make runs count, and the buckets they rewrote dead in the older ones."""
         runs = {
             old: sorted({*buckets, *dead})
             for old, buckets in manifest.runs.items()
             if len({*buckets, *dead}) < manifest.buckets
         }
         self._publish(
-            manifest.next(runs={**runs, run: []}, max_id=max(max_id, manifest.max_id))
+            manifest.next(
+                runs={**runs, **{run: [] for run in new}}, max_id=max(max_id, manifest.max_id)
+            )
         )
 
     def buckets_of(self, repos: DataFrame, buckets: int) -> list[int]:
@@ -182,6 +200,15 @@ class IndexTable:
         rows = self.read(manifest).where(F.col("repo_bucket").isin(touched))
         return rows.join(repos.select("repo_url").distinct(), "repo_url", "left_anti")
 
+    def rows_in(self, buckets: list[int], manifest: Manifest) -> int:
+        return self.read(manifest).where(F.col("repo_bucket").isin(buckets)).count()
+
+    def write_survivors(self, repos: DataFrame, manifest: Manifest, touched: list[int]) -> str:
+        """Write what remains in the touched buckets without `repos` as a run."""
+        return self.write_run(
+            self.laid_out(self.without(repos, manifest, touched), manifest.buckets)
+        )
+
     def delete(self, repos: DataFrame) -> int:
         """Delete the rows of `repos(repo_url)`; returns how many there were."""
         manifest = self.manifest()
@@ -189,11 +216,10 @@ class IndexTable:
         touched = self.buckets_of(present, manifest.buckets)
         if not touched:
             return 0
-        old = self.read(manifest).where(F.col("repo_bucket").isin(touched)).count()
-        run = self.write_run(self.without(present, manifest, touched), manifest.buckets)
-        kept = self.read_run(run).count()
-        self.publish_run(run, manifest, 0, touched)
-        return old - kept
+        run = self.write_survivors(present, manifest, touched)
+        deleted = self.rows_in(touched, manifest) - self.read_run(run).count()
+        self.publish_runs([run], manifest, 0, touched)
+        return deleted
 
     def delete_repo(self, repo_url: str) -> int:
         return self.delete(self.spark.createDataFrame([(repo_url,)], "repo_url string"))
