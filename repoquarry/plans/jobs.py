@@ -215,10 +215,12 @@ def ingest(
     repo_url: str | None = None,
     clear_existing: bool = False,
     dense_seq: bool = False,
+    batch: tuple[str, int] | None = None,
 ) -> Ingested:
     """Embed and store documents: `content`, and optionally `meta`, `id`, `repo_url`
     and `seq`, a unique column that tells their order. With `dense_seq` it counts
-    from 0 without gaps, and new ids simply add to it.
+    from 0 without gaps, and new ids simply add to it. `batch` names a stream and its
+    batch, recorded together with the rows.
 
     With `clear_existing` the repositories among the documents lose their old rows.
     Old and new state change over in one step, after the new rows were checked.
@@ -291,7 +293,7 @@ def ingest(
     if touched:
         runs.append(table.write_survivors(replaced, manifest, touched))
         deleted = table.rows_in(touched, manifest) - table.read_run(runs[1]).count()
-    table.publish_runs(runs, manifest, counts.max_id, touched)
+    table.publish_runs(runs, manifest, counts.max_id, touched, batch)
 
     failed = written.where(refused).select("id", "embed_error").join(ids, "id")
     quarantine = staged.where(F.col("error").isNotNull()).unionByName(

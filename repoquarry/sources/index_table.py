@@ -44,6 +44,7 @@ class Manifest:
     dim: int
     max_id: int = 0
     runs: dict[str, list[int]] = field(default_factory=dict)  # run -> its dead buckets
+    streams: dict[str, int] = field(default_factory=dict)  # stream -> last batch stored
 
     def next(self, **changes) -> Manifest:
         return Manifest(**{**self.__dict__, **changes, "version": self.version + 1})
@@ -175,7 +176,12 @@ class IndexTable:
         delete_path(self.spark, f"{self.path}/data/run={run}")
 
     def publish_runs(
-        self, new: list[str], manifest: Manifest, max_id: int, dead: list[int] = ()
+        self,
+        new: list[str],
+        manifest: Manifest,
+        max_id: int,
+        dead: list[int] = (),
+        batch: tuple[str, int] | None = None,
     ) -> None:
         """Make runs count, and the buckets they rewrote dead in the older ones."""
         runs = {
@@ -185,7 +191,9 @@ class IndexTable:
         }
         self._publish(
             manifest.next(
-                runs={**runs, **{run: [] for run in new}}, max_id=max(max_id, manifest.max_id)
+                runs={**runs, **{run: [] for run in new}},
+                max_id=max(max_id, manifest.max_id),
+                streams={**manifest.streams, **dict([batch] if batch else [])},
             )
         )
 
