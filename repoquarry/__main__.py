@@ -6,7 +6,7 @@ import argparse
 
 from repoquarry.params import IndexParams
 from repoquarry.plans.jobs import index_repositories, search, search_rendered
-from repoquarry.session import build_session
+from repoquarry.session import build_session, ship_package
 from repoquarry.sources.index_table import IndexTable
 
 
@@ -39,6 +39,7 @@ def _arguments() -> argparse.Namespace:
 def main() -> None:
     args = _arguments()
     spark = build_session()
+    ship_package(spark)
     if args.job == "search":
         run = search_rendered if args.rendered else search
         queries = spark.read.parquet(args.queries)

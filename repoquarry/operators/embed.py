@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions.text import is_blank, strip
 from repoquarry.functions.tokens import token_bucket, tokens
+from repoquarry.session import explode_all
 
 RESULT = "struct<vector:array<float>,error:string>"
 
@@ -29,8 +31,9 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
-# The token pattern of `functions.tokens` in the words of Python's `re`.
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+# The token pattern of `functions.tokens` in the words of Python's `re`, where \s
+# would be all of Unicode's white space.
+_TOKEN = re.compile(r"\w+|[^\w \t\n\x0b\f\r]")
 
 
 @lru_cache(maxsize=1 << 17)
@@ -50,17 +53,23 @@ class HashEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
         for row, text in zip(out, texts, strict=True):
-            hashes = np.fromiter(map(_hash_of, _TOKEN.findall(text.lower())), dtype=np.int64)
-            row += np.bincount(hashes % self.dim, minlength=self.dim)
+            counts = Counter(_TOKEN.findall(text.lower()))
+            hashes = np.fromiter(map(_hash_of, counts), np.int64, len(counts))
+            weights = np.fromiter(counts.values(), np.int64, len(counts))
+            row += np.bincount(hashes % self.dim, weights, self.dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
 
 
 def token_counts(texts: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """The counts behind the offline embedder as rows (key, bucket, n)."""
-    found = F.transform(tokens(F.lower(F.col(text))), lambda t: token_bucket(t, dim))
-    return texts.select(key, F.explode(found).alias("bucket")).groupBy(key, "bucket").agg(
-        F.count("*").alias("n")
+    each = texts.select(key, explode_all(tokens(F.lower(F.col(text)))).alias("nth", "token"))
+    # A text without tokens is one row with a NULL token here, and drops out.
+    found = each.where("token IS NOT NULL")
+    return (
+        found.select(key, token_bucket(F.col("token"), dim).alias("bucket"))
+        .groupBy(key, "bucket")
+        .agg(F.count("*").alias("n"))
     )
 
 
@@ -120,7 +129,9 @@ def embedding_of(text: Column, embedder: Embedder, batch_size: int, fail: bool =
                 errors.extend(e)
             yield _as_arrow(np.concatenate(vectors), errors)
 
-    return embed(strip(text))
+    # Marked so that a filter on the result is not pushed below it, which would embed
+    # every text a second time.
+    return embed.asNondeterministic()(strip(text))
 
 
 def check_content(docs: DataFrame, content: str, on_error: str) -> DataFrame:

@@ -80,6 +80,23 @@ def running_totals(
     return joined.select(columns)
 
 
+def dense_numbers(df: DataFrame, monotonic: str, number: str) -> DataFrame:
+    """Add 0-based numbers without gaps in the order of `monotonic`, a written column
+    of `monotonically_increasing_id`. Rows stay where they are: the offsets of the
+    partitions that wrote them, a row each, go to every task."""
+    part = F.shiftright(monotonic, _PARTITION_BITS)
+    within = F.col(monotonic).bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
+    sizes = df.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
+    return (
+        df.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(number, F.col("_offset") + within)
+        .drop("_part", "_offset")
+    )
+
+
 def number_rows(
     df: DataFrame, group: list[str], order: list[str], index: str, total: str = "_count"
 ) -> DataFrame:

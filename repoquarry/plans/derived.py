@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.functions.paths import language
-from repoquarry.session import scratch_path
+from repoquarry.session import scratch_path, spread
 
 SUFFIXES = (".py", ".md", ".js", ".png", ".java", "")
 
 
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
 def commit_of(source: Column) -> Column:

@@ -21,7 +21,7 @@ from repoquarry.operators.group import (
     inline_group_files,
     language_groups,
 )
-from repoquarry.operators.numbering import running_totals
+from repoquarry.operators.numbering import dense_numbers, running_totals
 from repoquarry.operators.render import render_results
 from repoquarry.operators.search import nearest
 from repoquarry.operators.select import (
@@ -42,7 +42,7 @@ from repoquarry.params import (
 from repoquarry.sources.documents import as_documents, one_document
 from repoquarry.sources.index_table import REFUSED, IndexTable
 from repoquarry.sources.repo_files import list_files, read_files
-from repoquarry.session import materialise
+from repoquarry.session import materialise, task_count
 
 # --- chunking ----------------------------------------------------------------
 
@@ -140,7 +140,6 @@ def build_chunks(files: DataFrame, params: IndexParams = IndexParams()) -> Chunk
         lines = _group_units(kept.where(_line_language(F.col("label"))), params)
         units = units.unionByName(materialise(lines, "windows"))
     numbered = number_kept(first_of_equals(units, language_groups(kept)))
-    numbered = materialise(numbered, "numbers")
     chunks = kept_chunks(units, numbered)
     if params.scope == "group":
         paths = inline_group_files(members, params.inline_paths)
@@ -184,6 +183,11 @@ class Ingested:
     quarantine: DataFrame  # documents that were not stored, with the error
 
 
+class NoDocuments(ValueError):
+    """Nothing to ingest: an error for a caller with documents, not for a job over
+    repositories."""
+
+
 def local_now() -> Column:
     """One stamp for a whole job: the wall clock of the fixed zone."""
     now = datetime.now(ZoneInfo(LOCAL_ZONE)).replace(tzinfo=None)
@@ -191,13 +195,11 @@ def local_now() -> Column:
 
 
 def assign_ids(docs: DataFrame, base: int, order: list[str]) -> DataFrame:
-    """Keep the ids documents bring, and number the others above `base` and above
-    every id brought, in the given order."""
-    brought = docs.agg(F.max("id")).first()[0]
-    start = max(base, brought or 0)
+    """Keep the ids documents bring, and number the others above `base` in the given
+    order; `base` has to be at least every id brought."""
     new = F.col("id").isNull()
     numbered = running_totals(docs, [], order, F.when(new, 1).otherwise(0), before="_n", total="_t")
-    return numbered.withColumn("id", F.coalesce("id", F.col("_n") + start + 1)).drop("_n", "_t")
+    return numbered.withColumn("id", F.coalesce("id", F.col("_n") + base + 1)).drop("_n", "_t")
 
 
 def _check_ids(table: IndexTable, docs: DataFrame, surviving: DataFrame) -> None:
@@ -231,19 +233,30 @@ def ingest(
     if embedder.dim != manifest.dim:
         raise ValueError(f"the index holds {manifest.dim} dimensions, not {embedder.dim}")
     checked = check_content(as_documents(docs, repo_url), "content", params.on_error)
-    if "seq" not in checked.columns:
+    in_scan_order = "seq" not in checked.columns
+    if in_scan_order:
         checked = checked.withColumn("seq", F.monotonically_increasing_id())
     staged = materialise(checked, "documents")
-    if staged.isEmpty():
-        raise ValueError("there are no documents to ingest")
-    good = staged.where(F.col("error").isNull())
-    brings_ids = not good.where(F.col("id").isNotNull()).select("id").limit(1).isEmpty()
-    if dense_seq and not brings_ids:
-        rows = good.withColumn("id", F.col("seq") + manifest.max_id + 1)
+    usable = F.col("error").isNull()
+    seen = staged.agg(
+        F.count("*").alias("all"),
+        F.count_if(usable).alias("usable"),
+        F.coalesce(F.max(F.when(usable, F.col("id"))), F.lit(0)).alias("max_id"),
+        F.count_if(usable & F.col("id").isNotNull()).alias("with_id"),
+    ).first()
+    if not seen["all"]:
+        raise NoDocuments("there are no documents to ingest")
+    good = staged.where(usable)
+    base, brings_ids = max(manifest.max_id, seen.max_id), seen.with_id > 0
+    if in_scan_order and not brings_ids:
+        numbered = dense_numbers(staged, "seq", "_n")
+        rows = numbered.where(usable).withColumn("id", F.col("_n") + base + 1).drop("_n")
+        ids = rows.select("seq", "id")
+    elif dense_seq and not brings_ids:
+        rows = good.withColumn("id", F.col("seq") + base + 1)
         ids = rows.select("seq", "id")
     else:
-        slim = good.select("seq", "id")
-        ids = assign_ids(slim, manifest.max_id, ["seq"])
+        ids = assign_ids(good.select("seq", "id"), base, ["seq"])
         rows = good.drop("id").join(ids, "seq")
 
     touched: list[int] = []
@@ -269,8 +282,10 @@ def ingest(
             .drop("since")
         )
     # Texts are laid out before they are embedded, so that vectors, which are larger,
-    # are written where they were made and never shuffled.
-    rows = table.laid_out(rows, manifest.buckets, params.embed_partitions)
+    # are written where they were made and never shuffled. Embedding is costly for
+    # the size of a text, so the number of tasks is set and does not follow from it.
+    tasks = params.embed_partitions or task_count(spark)
+    rows = table.laid_out(rows, manifest.buckets, tasks)
     rows = embed_column(rows, "content", embedder, params.batch_size, params.on_error)
     run = table.write_run(rows.withColumn("content", remove_nul(F.col("content"))))
 
@@ -283,11 +298,10 @@ def ingest(
         F.count_if(~refused & wrong).alias("wrong"),
         F.coalesce(F.max("id"), F.lit(0)).alias("max_id"),
     ).first()
-    expected = good.count()
-    if counts["all"] != expected or counts.wrong:
+    if counts["all"] != seen.usable or counts.wrong:
         table.discard_run(run)
         raise RuntimeError(
-            f"{counts['all']} of {expected} rows written, {counts.wrong} without a vector"
+            f"{counts['all']} of {seen.usable} rows written, {counts.wrong} without a vector"
         )
     deleted, runs = 0, [run]
     if touched:
@@ -337,12 +351,12 @@ def index_files(
     """Chunk and ingest files that are already in a table."""
     chunked = build_chunks(files, params)
     docs = chunked.chunks.withColumnRenamed("ordinal", "seq")
-    if docs.isEmpty():
+    try:
+        return chunked, ingest(
+            table, docs, embedder, params, clear_existing=clear_existing, dense_seq=True
+        )
+    except NoDocuments:
         return chunked, None
-    done = ingest(
-        table, docs, embedder, params, clear_existing=clear_existing, dense_seq=True
-    )
-    return chunked, done
 
 
 def index_repositories(
@@ -392,7 +406,7 @@ def search(
     manifest = table.manifest()
     embedder = embedder or HashEmbedder(manifest.dim)
     rows = table.read(manifest)
-    vectors = embed_queries(queries, embedder)
+    vectors = materialise(embed_queries(queries, embedder), "queries")
     hits = nearest(rows.select("id", "embedding"), vectors, k, max_distance)
     return fetch(rows, hits)
 

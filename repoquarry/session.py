@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,23 @@ def build_session(app: str = "repoquarry", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application. Not needed
+    where it is installed on all nodes or passed with --py-files."""
+    context = spark.sparkContext
+    if getattr(context, "_repoquarry_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="repoquarry-")) / "package"),
+        "zip",
+        root_dir=package.parent,
+        base_dir=package.name,
+    )
+    context.addPyFile(archive)
+    context._repoquarry_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
@@ -65,6 +84,16 @@ def task_count(spark: SparkSession) -> int:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every slot a share of a small table before costly work on its rows.
+
+    A small file is one or two row groups, which only as many tasks can read. A large
+    table has more splits than there are slots and is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def explode_all(array: Column) -> Column:
     """Generator for arrays known to have entries. The plain form makes the optimizer
     add a filter against empty arrays, which computes the array a second time."""
