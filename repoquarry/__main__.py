@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
+
 from repoquarry.params import IndexParams
 from repoquarry.plans.jobs import index_repositories, search, search_rendered
-from repoquarry.session import build_session, ship_package
+from repoquarry.session import build_session, drop_scratch, ship_package
 from repoquarry.sources.index_table import IndexTable
 
 
@@ -40,6 +42,13 @@ def main() -> None:
     args = _arguments()
     spark = build_session()
     ship_package(spark)
+    try:
+        _run(spark, args)
+    finally:
+        drop_scratch(spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "search":
         run = search_rendered if args.rendered else search
         queries = spark.read.parquet(args.queries)

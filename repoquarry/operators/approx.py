@@ -144,7 +144,7 @@ def _nearest_cells(centres: np.ndarray, n: int):
             offsets = np.arange(len(batch) + 1, dtype=np.int32) * best.shape[1]
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.reshape(-1)))
 
-    return cells
+    return cells.asNondeterministic()  # so that it runs once for all columns made of it
 
 
 def _centres(spark: SparkSession, path: str) -> np.ndarray:

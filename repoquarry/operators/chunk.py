@@ -46,6 +46,8 @@ def line_windows(text: Column, lines: int, overlap: int, max_chars: int | None)
 
 # --- token windows -----------------------------------------------------------
 
+_MAX_PIECE = 256  # the regex engine nests once per token of a piece
+
 
 def token_pieces(text: Column, limit: int) -> Column:
     """Text cut into pieces of at most `limit` tokens; joined, they are the text.
@@ -62,15 +64,14 @@ def token_pieces(text: Column, limit: int) -> Column:
 def token_windows(text: Column, max_tokens: int, overlap: int) -> Column:
     """Chunks of at most `max_tokens` tokens, neighbours sharing at most `overlap`.
 
-    The text is cut into pieces of the overlap's size; a chunk is a window of
-    pieces and neighbours share one.
+    The text is cut into pieces no larger than the overlap; a chunk is a window of
+    pieces, and neighbours share as many as the overlap allows.
     """
     piece = min(overlap, max_tokens - overlap) if overlap else min(64, max_tokens)
+    piece //= -(-piece // _MAX_PIECE)
     per_chunk = max_tokens // piece
-    stride = (max_tokens - overlap) // piece
-    return let(
-        token_pieces(text, piece), lambda ps: windows(ps, per_chunk, per_chunk - stride, "")
-    )
+    shared = min(overlap // piece, per_chunk - 1)
+    return let(token_pieces(text, piece), lambda ps: windows(ps, per_chunk, shared, ""))
 
 
 # --- declaration chunks ------------------------------------------------------

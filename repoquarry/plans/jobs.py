@@ -79,7 +79,7 @@ def _file_units(files: DataFrame, params: IndexParams) -> DataFrame:
         .withColumn("label", group_label(language))
         .withColumn("chunks", F.when(kept & ~in_group, chunks))
         .select(
-            "repo_url",
+            F.coalesce("repo_url", F.raise_error(F.lit("a file has no repo_url"))).alias("repo_url"),
             "commit",
             "rel",
             "reason",

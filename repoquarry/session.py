@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoquarry.sources.storage import delete_path
+
 JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -65,6 +67,11 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/repoquarry-{spark.sparkContext.applicationId}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application."""
+    delete_path(spark, scratch_root(spark))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from repoquarry.params import IGNORED_NAMES
 from repoquarry.session import task_count
 
 _LISTED = "repo_url string, commit string, root string, rel string, size bigint, folder boolean"
+_LIST_ROWS = 10_000
 _READ_ROWS = 256
 
 
@@ -29,6 +31,15 @@ def _shown(path: str) -> str:
     return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
+def _scan(folder: str) -> Iterator[os.DirEntry]:
+    """Entries of a folder one by one; what cannot be listed ends it early."""
+    try:
+        with os.scandir(folder) as entries:
+            yield from entries
+    except OSError:
+        return
+
+
 def _entries(root: str, rel: str, deep: bool) -> Iterator[tuple[str, int | None, bool]]:
     """Regular files below a folder, hidden ones included; links to folders are not
     followed. Folders whose name is ignored are not entered. Unless `deep`,
@@ -36,21 +47,17 @@ def _entries(root: str, rel: str, deep: bool) -> Iterator[tuple[str, int | None,
     pending = [rel]
     while pending:
         folder = pending.pop()
-        try:
-            entries = list(os.scandir(os.path.join(root, folder)))
-        except OSError:
-            continue
-        for entry in entries:
+        for entry in _scan(os.path.join(root, folder)):
             path = f"{folder}/{entry.name}" if folder else entry.name
-            if entry.is_dir(follow_symlinks=False):
-                if entry.name in IGNORED_NAMES:
-                    continue
-                if deep or _shown(path) != path:
-                    pending.append(path)
-                else:
-                    yield path, None, True
-                continue
             try:
+                if entry.is_dir(follow_symlinks=False):
+                    if entry.name in IGNORED_NAMES:
+                        continue
+                    if deep or _shown(path) != path:
+                        pending.append(path)
+                    else:
+                        yield path, None, True
+                    continue
                 found = entry.stat()
             except OSError:
                 continue
@@ -62,17 +69,18 @@ def _lister(deep: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                found = list(_entries(row.root, row.rel, deep))
-                yield pd.DataFrame(
-                    {
-                        "repo_url": row.repo_url,
-                        "commit": row.commit,
-                        "root": row.root,
-                        "rel": pd.Series([f[0] for f in found], dtype=object),
-                        "size": pd.Series([f[1] for f in found], dtype="Int64"),
-                        "folder": pd.Series([f[2] for f in found], dtype=bool),
-                    }
-                )
+                for found in batched(_entries(row.root, row.rel, deep), _LIST_ROWS):
+                    rel, size, folder = zip(*found, strict=True)
+                    yield pd.DataFrame(
+                        {
+                            "repo_url": row.repo_url,
+                            "commit": row.commit,
+                            "root": row.root,
+                            "rel": pd.Series(rel, dtype=object),
+                            "size": pd.Series(size, dtype="Int64"),
+                            "folder": pd.Series(folder, dtype=bool),
+                        }
+                    )
 
     return run
 

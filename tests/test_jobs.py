@@ -1,12 +1,11 @@
 import json
 import os
-import subprocess
 import sys
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import repoquarry.__main__ as command
 from repoquarry.operators.embed import HashEmbedder
 from repoquarry.params import IndexParams
 from repoquarry.plans import jobs
@@ -14,7 +13,6 @@ from repoquarry.session import scratch_path
 from repoquarry.sources.index_table import IndexTable
 from repoquarry.sources.repo_files import list_files, read_files
 
-ROOT = Path(__file__).parent.parent
 URL = "https://github.com/o/"
 
 
@@ -79,9 +77,9 @@ def test_reading(spark, snapshots):
 
 @pytest.fixture(scope="module")
 def indexed(spark, snapshots):
-    table = IndexTable.create(spark, scratch_path(spark, "index"), 64, 4)
+    table = IndexTable.create(spark, scratch_path(spark, "index"), 512, 4)
     bad = spark.createDataFrame([("ftp://x", "c", "/nowhere")], "repo_url string, commit string, root string")
-    params = IndexParams(dim=64)
+    params = IndexParams(dim=512)
     done = jobs.index_repositories(table, manifest(spark, snapshots).unionByName(bad), params)
     return table, done
 
@@ -128,7 +126,7 @@ def test_stored_rows(indexed):
 def test_indexing_again_replaces(spark, snapshots, indexed):
     table, done = indexed
     before = table.read().count()
-    jobs.index_repositories(table, manifest(spark, snapshots, ["two"]), IndexParams(dim=64))
+    jobs.index_repositories(table, manifest(spark, snapshots, ["two"]), IndexParams(dim=512))
     assert table.read().count() == before
 
 
@@ -206,19 +204,20 @@ def test_embedder_is_a_plug_in(spark):
     assert len({tuple(r.embedding) for r in table.read().collect()}) == 1
 
 
-def test_command_line(spark, snapshots, tmp_path):
+def test_command_line(spark, snapshots, tmp_path, monkeypatch):
     manifest(spark, snapshots).write.parquet(str(tmp_path / "manifest"))
     spark.createDataFrame([(1, "hidden text")], "query_id bigint, query string").write.parquet(
         str(tmp_path / "queries")
     )
-    env = {**os.environ, "PYTHONPATH": str(ROOT), "SPARK_LOCAL_IP": "127.0.0.1"}
 
     def run(*args):
-        command = [sys.executable, "-m", "repoquarry", *args]
-        subprocess.run(command, check=True, env=env, cwd=tmp_path, timeout=300, capture_output=True)
+        # The scratch of the shared test session has to stay.
+        monkeypatch.setattr(command, "drop_scratch", lambda spark: None)
+        monkeypatch.setattr(sys, "argv", ["repoquarry", *args])
+        command.main()
 
     t = str(tmp_path)
-    run("index", f"{t}/manifest", f"{t}/index", "--dim", "64", "--report", f"{t}/report")
+    run("index", f"{t}/manifest", f"{t}/index", "--dim", "512", "--report", f"{t}/report")
     run("search", f"{t}/index", f"{t}/queries", f"{t}/found", "--rendered")
     [row] = spark.read.parquet(f"{t}/found").collect()
     assert "_hidden/.dot" in row.rendered
