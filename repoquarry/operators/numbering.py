@@ -14,7 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoquarry.session import materialise, task_count
+from repoquarry.session import materialise
 
 _PARTITION_BITS = 33  # where monotonically_increasing_id keeps the partition
 
@@ -38,7 +38,7 @@ def running_totals(
     keys = [*group, *order]
     ranged = (
         df.withColumn("_w", F.lit(1).cast("bigint") if weight is None else weight.cast("bigint"))
-        .repartitionByRange(task_count(df.sparkSession), *keys)
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_row", F.monotonically_increasing_id())
     )

@@ -283,8 +283,10 @@ def ingest(
         )
     # Texts are laid out before they are embedded, so that vectors, which are larger,
     # are written where they were made and never shuffled. Embedding is costly for
-    # the size of a text, so the number of tasks is set and does not follow from it.
-    tasks = params.embed_partitions or task_count(spark)
+    # the size of a text, so the number of tasks is set and does not follow from it;
+    # no more are of use than there are requests to make.
+    requests = -(-seen.usable // params.batch_size)
+    tasks = params.embed_partitions or max(1, min(task_count(spark), requests))
     rows = table.laid_out(rows, manifest.buckets, tasks)
     rows = embed_column(rows, "content", embedder, params.batch_size, params.on_error)
     run = table.write_run(rows.withColumn("content", remove_nul(F.col("content"))))
@@ -371,7 +373,7 @@ def index_repositories(
     Files are listed and chosen by name and size; only chosen ones are read.
     """
     good, bad = split_repo_urls(manifest)
-    found = materialise(decide(listed(list_files(good)), params.max_bytes), "listing")
+    found = decide(listed(list_files(good)), params.max_bytes)
     included = found.where("decision.include").drop("decision")
     others = found.where("NOT decision.include").drop("decision", "root")
     files = read_files(included).unionByName(others, allowMissingColumns=True)

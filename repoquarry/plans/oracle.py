@@ -420,6 +420,10 @@ FROM kept JOIN paths ON k1 = repo_url"""
 # --- embedding ---
 
 
+def _rounded(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 5e-7 THEN 0.0::DOUBLE ELSE round({x}, 6) END"
+
+
 def _bucket_ctes(name: str, source: str, dim: int) -> str:
     """Counts of hashed tokens of (key, text): (key, bucket, n)."""
     return rf"""
@@ -469,11 +473,11 @@ ranked AS (SELECT query_id, id, 1 - coalesce(dot, 0) / norms AS distance,
 
 embed_knn = f"""
 WITH {_lexical_knn(1536, 2)}
-SELECT query_id, id, rank, round(distance, 6) AS distance FROM ranked"""
+SELECT query_id, id, rank, {_rounded("distance")} AS distance FROM ranked"""
 
 search_index = f"""
 WITH {_lexical_knn(64, 2)}
-SELECT query_id, id + 1 AS id, rank, round(distance, 6) AS distance,
+SELECT query_id, id + 1 AS id, rank, {_rounded("distance")} AS distance,
        nullif(source, 'src3') AS repo_url, sha256(text) AS digest
 FROM ranked JOIN documents ON doc_id = id"""
 
@@ -482,14 +486,14 @@ FROM ranked JOIN documents ON doc_id = id"""
 _DISTANCE = "list_cosine_distance(r.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 cosine_distances = f"""
-SELECT r.vec_id AS id, round({_DISTANCE}, 6) AS distance, round({_DISTANCE}, 5) AS unit_distance
+SELECT r.vec_id AS id, {_rounded(_DISTANCE)} AS distance, round(1 + {_DISTANCE}, 5) AS one_more_by_unit
 FROM embeddings r, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"""
 
 
 def _knn(queries: str, k: int | str, limit: float | None = None) -> str:
     bound = "true" if limit is None else f"{_DISTANCE} <= {limit}"
     return f"""
-SELECT q.vec_id AS query_id, r.vec_id AS id, round({_DISTANCE}, 6) AS distance,
+SELECT q.vec_id AS query_id, r.vec_id AS id, {_rounded(_DISTANCE)} AS distance,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCE}, r.vec_id) AS rank
 FROM embeddings r, {queries} q WHERE {bound}
 QUALIFY rank <= {k}"""
@@ -498,13 +502,14 @@ QUALIFY rank <= {k}"""
 knn_top2 = _knn("(SELECT * FROM embeddings WHERE vec_id = 0)", 2)
 knn_batch = _knn("embeddings", 5)
 knn_threshold = _knn("embeddings", 10, 0.6)
-knn_unembedded = """
+knn_self = "SELECT vec_id AS query_id, vec_id AS id, 1::BIGINT AS rank, 0.0::DOUBLE AS distance FROM embeddings"
+knn_unembedded = f"""
 WITH r AS (SELECT vec_id, CASE WHEN embedding[1] > 0.33::DOUBLE THEN embedding END AS embedding
            FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, r.vec_id AS id,
              list_cosine_distance(r.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
       FROM r, embeddings q)
-SELECT query_id, id, round(d, 6) AS distance,
+SELECT query_id, id, {_rounded("d")} AS distance,
        row_number() OVER (PARTITION BY query_id ORDER BY d NULLS LAST, id) AS rank
 FROM d QUALIFY rank <= 10"""
 

@@ -432,10 +432,15 @@ def embed_knn(spark: SparkSession, sf: str) -> DataFrame:
 
 def _shown(found: DataFrame) -> DataFrame:
     return found.select(
-        "query_id", "id", big("rank").alias("rank"), F.round("distance", 6).alias("distance")
+        "query_id", "id", big("rank").alias("rank"), _rounded(F.col("distance")).alias("distance")
     )
 
 
+def _rounded(x: Column) -> Column:
+    """To six digits, without a negative zero."""
+    return F.when(F.abs(x) < 5e-7, 0.0).otherwise(F.round(x, 6))
+
+
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     return rows, rows.select(F.col("id").alias("query_id"), "embedding")
@@ -449,8 +454,8 @@ def cosine_distances(spark: SparkSession, sf: str) -> DataFrame:
     unit = vector.l2_normalise(F.col("embedding"))
     return rows.select(
         "id",
-        F.round(vector.cosine_distance(F.col("embedding"), q), 6).alias("distance"),
-        F.round(vector.cosine_distance(unit, q), 5).alias("unit_distance"),
+        _rounded(vector.cosine_distance(F.col("embedding"), q)).alias("distance"),
+        F.round(1 + vector.cosine_distance(unit, q), 5).alias("one_more_by_unit"),
     )
 
 
@@ -488,6 +493,23 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(approx.search_lsh(spark, path, queries, k=5))
 
 
+@query(oracle.knn_self)
+def knn_lsh_self(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal vectors share all their cells, so each vector finds itself."""
+    rows, queries = _vectors(spark, sf)
+    path = scratch_path(spark, "lsh")
+    approx.build_lsh(rows, path, tables=3)
+    return _shown(approx.search_lsh(spark, path, queries, k=1))
+
+
+@query(oracle.knn_self)
+def knn_cluster_self(spark: SparkSession, sf: str) -> DataFrame:
+    rows, queries = _vectors(spark, sf)
+    path = scratch_path(spark, "clusters")
+    approx.build_clusters(rows, path, cells=16)
+    return _shown(approx.search_clusters(spark, path, queries, k=1, probes=1))
+
+
 @query()
 def knn_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rows, queries = _vectors(spark, sf)

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.params import IGNORED_NAMES
-from repoquarry.session import task_count
+from repoquarry.session import materialise, task_count
 
 _LISTED = "repo_url string, commit string, root string, rel string, size bigint, folder boolean"
 _LIST_ROWS = 10_000
 _READ_ROWS = 256
+_FILES_PER_TASK = 64  # at least, while there are fewer files than all slots could read
 
 
 def _shown(path: str) -> str:
@@ -89,20 +90,24 @@ def list_files(manifest: DataFrame, split_levels: int = 2) -> DataFrame:
     """Files of every snapshot: (repo_url, commit, root, rel, size).
 
     The upper `split_levels` folder levels are listed one level at a time, so that
-    the folders below them become tasks of their own.
+    the folders below them become tasks of their own. Each level is written, and so
+    is listed once.
     """
-    tasks = task_count(manifest.sparkSession)
+    slots = task_count(manifest.sparkSession)
     folders = manifest.select("repo_url", "commit", "root", F.lit("").alias("rel"))
-    levels = []
+    files = manifest.sparkSession.createDataFrame([], _LISTED).drop("folder")
     for level in range(split_levels + 1):
-        spread = folders.repartition(tasks, "root", "rel")
-        found = spread.mapInPandas(_lister(deep=level == split_levels), _LISTED)
-        levels.append(found.where(~F.col("folder")))
+        count = folders.count()
+        if not count:
+            break
+        # Names are small and listing is slow: the number of tasks goes by folders.
+        spread = folders.repartition(min(slots, count), "root", "rel")
+        found = materialise(
+            spread.mapInPandas(_lister(deep=level == split_levels), _LISTED), "listing"
+        )
+        files = files.unionByName(found.where(~F.col("folder")).drop("folder"))
         folders = found.where("folder").select("repo_url", "commit", "root", "rel")
-    files = levels[0]
-    for level in levels[1:]:
-        files = files.unionByName(level)
-    return files.drop("folder")
+    return files
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,8 +133,9 @@ def read_files(files: DataFrame) -> DataFrame:
 
     Files are spread evenly by path, so one large repository is read by all tasks.
     """
-    spark = files.sparkSession
+    slots = task_count(files.sparkSession)
+    tasks = max(1, min(slots, files.count() // _FILES_PER_TASK))
     kept = [f for f in files.schema.fields if f.name != "root"]
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    spread = files.repartition(task_count(spark), "repo_url", "rel")
+    spread = files.repartition(tasks, "repo_url", "rel")
     return spread.mapInPandas(_read, f"{columns}, content binary, error string")
