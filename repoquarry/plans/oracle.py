@@ -502,7 +502,9 @@ QUALIFY rank <= {k}"""
 knn_top2 = _knn("(SELECT * FROM embeddings WHERE vec_id = 0)", 2)
 knn_batch = _knn("embeddings", 5)
 knn_threshold = _knn("embeddings", 10, 0.6)
-knn_self = "SELECT vec_id AS query_id, vec_id AS id, 1::BIGINT AS rank, 0.0::DOUBLE AS distance FROM embeddings"
+knn_self = """
+SELECT vec_id AS query_id, vec_id AS id, 1::BIGINT AS rank, 0.0::DOUBLE AS distance
+FROM embeddings"""
 knn_unembedded = f"""
 WITH r AS (SELECT vec_id, CASE WHEN embedding[1] > 0.33::DOUBLE THEN embedding END AS embedding
            FROM embeddings),

@@ -391,7 +391,8 @@ def group_scope_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.hash_embed_buckets)
 def hash_embed_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return embed.token_counts(table(spark, sf, "documents"), "doc_id", "text", 1536)
+    counts = embed.token_counts(table(spark, sf, "documents"), "doc_id", "text", 1536)
+    return counts.withColumn("bucket", big("bucket"))
 
 
 @query(oracle.embed_documents)
