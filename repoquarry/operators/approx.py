@@ -33,6 +33,7 @@ from repoquarry.sources.storage import delete_path
 
 PARTS = 64
 _TRAINING_ROWS_PER_CELL = 256
+_FEW_CELLS = 1000
 
 
 def _part(cell: Column) -> Column:
@@ -59,8 +60,14 @@ def _search_cells(
         wanted = sorted({cell for row in cells for cell in row})
         cell_rows = spark.createDataFrame([(c,) for c in wanted], "cell bigint")
         cell_rows = cell_rows.withColumn("part", _part(F.col("cell")))
-        # As bounded as the block of queries it comes from, so it may be broadcast.
-        near = table.join(F.broadcast(cell_rows), ["part", "cell"], "left_semi")
+        parts = [row.part for row in cell_rows.select("part").distinct().collect()]
+        near = table.where(F.col("part").isin(parts))
+        if len(wanted) <= _FEW_CELLS:
+            # As values they also let the scan skip row groups by their range of cells.
+            near = near.where(F.col("cell").isin(wanted))
+        else:
+            # As bounded as the block of queries it comes from, so it may be broadcast.
+            near = near.join(F.broadcast(cell_rows), ["part", "cell"], "left_semi")
         found = search_block(
             near.select("id", "embedding", "cell"), ids, vectors, k, max_distance, cells
         )

@@ -146,8 +146,19 @@ def test_approximate_search_prunes(spark, clustered):
     corpus, queries, _ = clustered
     path = scratch_path(spark, "clusters")
     approx.build_clusters(corpus, path, cells=12)
-    table = spark.read.parquet(f"{path}/cells")
-    assert "part" in table.columns and table.count() == 1200
+    assert spark.read.parquet(f"{path}/cells").count() == 1200
+    few = approx.search_clusters(spark, path, queries.limit(1), 5, probes=1)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "cell" in plan.split("PushedFilters:")[1].split("ReadSchema")[0]
+
+
+def test_many_cells(spark, clustered, monkeypatch):
+    corpus, queries, exact = clustered
+    path = scratch_path(spark, "clusters")
+    approx.build_clusters(corpus, path, cells=12)
+    monkeypatch.setattr(approx, "_FEW_CELLS", 0)
+    assert found(approx.search_clusters(spark, path, queries, 5, probes=12)) == exact
 
 
 def test_rendering(spark):
