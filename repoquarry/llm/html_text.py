@@ -176,6 +176,8 @@ class Page:
                 return
 
     def _close(self, tag: str) -> None:
+        if tag == "p":
+            self.runs.append((self.stack[-1], None))  # also without an open paragraph
         self._pop_to((tag,), () if tag in ("article", "body", "html", "main") else ("article",))
 
     def _open(self, tag: str, rest: str) -> None:
@@ -230,7 +232,7 @@ class Page:
         """The text of the content without branches that go."""
         gone = []
         for e in self.elements:
-            low = e.path in noise and e.tag in _TREE_TAGS and not e.rooted
+            low = e.path in noise and _may_go(e)
             gone.append(e.gone or low or (e.parent >= 0 and gone[e.parent]))
         blocks: list[str] = []
         done = 0
@@ -249,7 +251,7 @@ class Page:
     def branches(self) -> Iterator[tuple[int, int, int]]:
         """(path, presentation, content) of the elements that may turn out to be noise."""
         for e in self.elements[1:]:
-            if e.tag in _TREE_TAGS and not e.gone and not e.rooted:
+            if _may_go(e) and not e.gone:
                 words = " ".join(
                     run for owner, run in self.runs[e.first : e.last]
                     if run is not None and not self.elements[owner].gone
@@ -259,6 +261,12 @@ class Page:
                     yield e.path, xxhash.xxh64_intdigest("|".join(look)), xxhash.xxh64_intdigest(" ".join(words))
 
 
+def _may_go(e: Element) -> bool:
+    """Whether the site's tree may remove an element. Lists and tables of an article that
+    carry no name are its text, however often they repeat."""
+    return e.tag in _TREE_TAGS and not e.rooted and (not e.in_article or "." in e.label)
+
+
 def _signed(values: list[int]) -> pa.Array:
     return pa.array([v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
 

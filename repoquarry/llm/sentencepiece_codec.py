@@ -158,6 +158,8 @@ class Codec:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         text = text.replace(" ", MARK)
+        if self.squeeze:
+            text = text.rstrip(MARK)
         return MARK + text if self.prefix and text else text
 
     def _learn(self, segments: set[str]) -> None:
@@ -202,12 +204,16 @@ class Codec:
         except UnicodeDecodeError:
             text = raw.decode("utf-8", "surrogateescape")
             text = re.sub("[\udc80-\udcff]", "�", text)
+        return self._without_prefix(text)
+
+    def _without_prefix(self, text: str) -> str:
+        if self.squeeze:
+            return text.lstrip(" ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
     def plain(self, text: str) -> str:
         """What decoding the ids of a text gives when nothing is unknown."""
-        normal = self.normalised(text).replace(MARK, " ")
-        return normal[1:] if self.prefix and normal.startswith(" ") else normal
+        return self._without_prefix(self.normalised(text).replace(MARK, " "))
 
 
 _CODECS: dict[bytes, Codec] = {}  # one model a worker, by digest
