@@ -1,7 +1,7 @@
 """Near-duplicate groups of documents by SimHash fingerprints.
 
-A fingerprint has 64 bits. It is embedded as the number of ones in each of its 16 segments
-of four bits. One differing bit changes one of these counts by one, so the Manhattan
+A fingerprint has 64 bits. It is embedded as the number of ones in each of its 32 segments
+of two bits. One differing bit changes one of these counts by one, so the Manhattan
 distance of two embeddings is at most the number of differing bits: embeddings further
 apart than that need no look. The range join runs on the grid of embeddings: each is posted
 in its own cell and the cells one step away, and two embeddings within two steps share a
@@ -77,31 +77,32 @@ def with_fingerprints(docs: DataFrame, id: str, text: str, width: int) -> DataFr
     return slim.mapInArrow(_fingerprints(width), f"_id {kind}, _fp bigint")
 
 
-def _mask(nibble: int) -> Column:
-    value = int(f"{nibble:x}" * 16, 16)
-    return F.lit(value).cast("bigint")
-
-
 def segment_counts(fp: Column) -> Column:
-    """The ones in each of 16 segments, packed four bits each. No sum reaches the sign."""
+    """The ones in each of 32 segments of two bits, packed two bits each: 0, 1 or 2."""
+    low = F.lit(0x5555555555555555)
     one = F.shiftrightunsigned(fp, 1)
-    odd = fp.bitwiseXOR(one).bitwiseAND(_mask(5))
-    both = fp.bitwiseAND(one).bitwiseAND(_mask(5))
-    pairs = odd.bitwiseOR(F.shiftleft(both, 1))
-    high = F.shiftrightunsigned(pairs, 2).bitwiseAND(_mask(3))
-    return pairs.bitwiseAND(_mask(3)) + high
+    odd = fp.bitwiseXOR(one).bitwiseAND(low)
+    both = fp.bitwiseAND(one).bitwiseAND(low)
+    return odd.bitwiseOR(F.shiftleft(both, 1))
+
+
+def _shifted(value: int, by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(value).cast("bigint"), by)
 
 
 def _near_cells(counts: Column) -> Column:
     """A cell of the grid and those one step away."""
-    steps = [F.array(counts)]
-    for i in range(16):
-        one = F.lit(1 << (4 * i)).cast("bigint")
-        digit = F.shiftrightunsigned(counts, 4 * i).bitwiseAND(F.lit(15))
-        up = F.when(digit < 4, F.array(counts + one)).otherwise(F.array())
-        down = F.when(digit > 0, F.array(counts - one)).otherwise(F.array())
-        steps += [up, down]
-    return F.concat(*steps)
+
+    def step(i: Column) -> Column:
+        place = F.shiftleft(F.shiftright(i, 1), 1)
+        digit = F.call_function("shiftrightunsigned", counts, place).bitwiseAND(F.lit(3))
+        # Between 0 and 1 the last bit changes, between 1 and 2 both do.
+        return F.when((i % 2 == 0) & (digit <= 1), counts.bitwiseXOR(_shifted(1, place))).when(
+            (i % 2 == 1) & (digit >= 1), counts.bitwiseXOR(_shifted(3, place))
+        )
+
+    steps = F.transform(F.sequence(F.lit(0), F.lit(63)), step)
+    return F.concat(F.array(counts), F.array_compact(steps))
 
 
 def _near_points(fp: Column) -> Column:
@@ -110,7 +111,7 @@ def _near_points(fp: Column) -> Column:
         F.array(fp),
         F.transform(
             F.sequence(F.lit(0), F.lit(63)),
-            lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)),
+            lambda i: fp.bitwiseXOR(_shifted(1, i)),
         ),
     )
 

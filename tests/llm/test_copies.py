@@ -94,10 +94,14 @@ def test_chain_of_fingerprints(spark):
 def test_embedding(spark):
     values = [0, -1, 1, 1 << 62, -(1 << 63), 0x123456789ABCDEF0, -0x0FEDCBA987654321]
     df = spark.createDataFrame([(v,) for v in values], "_fp bigint")
-    for r in df.select("_fp", simhash.segment_counts(F.col("_fp")).alias("c"), simhash._near_cells(F.col("_fp").bitwiseAND(F.lit(0))).alias("n"), simhash._near_points(F.col("_fp")).alias("p")).collect():
+    for r in df.select("_fp", simhash.segment_counts(F.col("_fp")).alias("c"), simhash._near_cells(simhash.segment_counts(F.col("_fp"))).alias("n"), simhash._near_points(F.col("_fp")).alias("p")).collect():
         raw = r._fp % (1 << 64)
-        assert [r.c >> 4 * i & 15 for i in range(16)] == [(raw >> 4 * i & 15).bit_count() for i in range(16)]
-        assert len(r.n) == 17 and len(set(r.p)) == 65
+        counts = [(raw >> 2 * i & 3).bit_count() for i in range(32)]
+        assert [r.c >> 2 * i & 3 for i in range(32)] == counts
+        near = [[x >> 2 * i & 3 for i in range(32)] for x in r.n]
+        assert all(sum(abs(a - b) for a, b in zip(n, counts)) <= 1 and max(n) <= 2 for n in near)
+        assert len(set(r.n)) == len(r.n) == 1 + sum(2 if c == 1 else 1 for c in counts)
+        assert len(set(r.p)) == 65
         assert all((x % (1 << 64) ^ raw).bit_count() <= 1 for x in r.p)
 
 
