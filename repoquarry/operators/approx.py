@@ -9,31 +9,21 @@ scanned, by as many tasks as it has splits.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (
-    BucketedRandomProjectionLSH,
-    BucketedRandomProjectionLSHModel,
-    Normalizer,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.operators.search import (
-    QUERY_BLOCK_BYTES,
-    query_blocks,
-    rank_candidates,
-    search_block,
-)
+from repoquarry.operators.search import QUERY_BLOCK_BYTES, rank_candidates, search_blocks
+from repoquarry.session import materialise
 from repoquarry.sources.storage import delete_path
 
 PARTS = 64
-_TRAINING_ROWS_PER_CELL = 256
-_FEW_CELLS = 1000
 
 
 def _part(cell: Column) -> Column:
@@ -54,26 +44,14 @@ def _search_cells(
     table: DataFrame, queries: DataFrame, k: int, max_distance: float | None, block_bytes: int
 ) -> DataFrame:
     """Search with `queries(query_id, embedding, cells)`."""
-    spark = table.sparkSession
-    result = spark.createDataFrame([], "query_id bigint, id bigint, distance double")
-    for ids, vectors, cells in query_blocks(queries, block_bytes):
-        wanted = sorted({cell for row in cells for cell in row})
-        cell_rows = spark.createDataFrame([(c,) for c in wanted], "cell bigint")
-        cell_rows = cell_rows.withColumn("part", _part(F.col("cell")))
-        parts = [row.part for row in cell_rows.select("part").distinct().collect()]
-        near = table.where(F.col("part").isin(parts))
-        if len(wanted) <= _FEW_CELLS:
-            # As values they also let the scan skip row groups by their range of cells.
-            near = near.where(F.col("cell").isin(wanted))
-        else:
-            # As bounded as the block of queries it comes from, so it may be broadcast.
-            near = near.join(F.broadcast(cell_rows), ["part", "cell"], "left_semi")
-        found = search_block(
-            near.select("id", "embedding", "cell"), ids, vectors, k, max_distance, cells
-        )
-        result = result.unionByName(found)
+    asked = materialise(queries.select("query_id", "embedding", "cells"), "asked")
+    wanted = asked.select(F.explode("cells").alias("cell")).distinct()
+    wanted = materialise(wanted.withColumn("part", _part(F.col("cell"))), "wanted")
+    parts = [row.part for row in wanted.select("part").distinct().collect()]  # PARTS at most
+    near = table.where(F.col("part").isin(parts)).join(wanted, ["part", "cell"], "left_semi")
+    found = search_blocks(near.select("id", "embedding", "cell"), asked, k, max_distance, block_bytes)
     # A row may be found in several tasks, through different cells.
-    once = result.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    once = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     return rank_candidates(once, k)
 
 
@@ -85,36 +63,42 @@ def drop_derived(spark: SparkSession, path: str) -> None:
 # --- random projections ------------------------------------------------------
 
 
-def _hash_cells(model: BucketedRandomProjectionLSHModel, rows: DataFrame) -> DataFrame:
-    """Add `cells`, one per hash table: bucket and table number in one value."""
-    vectors = rows.withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>")))
-    units = Normalizer(inputCol="_v", outputCol="_u").transform(vectors)
-    tables = model.getNumHashTables()
-    buckets = F.transform("_h", lambda h: F.get(vector_to_array(h), F.lit(0)).cast("bigint"))
-    cells = F.transform(buckets, lambda b, t: b * tables + t)
-    return model.transform(units).withColumn("cells", cells).drop("_v", "_u", "_h")
+def signs(tables: int, bits: int, dim: int) -> np.ndarray:
+    """Directions of +1 and -1 for each table and bit, by a rule that any engine can
+    repeat: whether the first hexadecimal digit of md5('table:bit:place') is below 8."""
+    names = (f"{t}:{b}:{i}" for t in range(tables) for b in range(bits) for i in range(dim))
+    low = [hashlib.md5(name.encode()).hexdigest()[0] < "8" for name in names]
+    return np.where(low, 1.0, -1.0).reshape(tables * bits, dim)
 
 
-def build_lsh(
-    corpus: DataFrame, path: str, tables: int = 8, bucket_length: float = 0.25, seed: int = 7
-) -> None:
-    """Write the hashed table of `corpus(id, embedding)`: a row per table and vector.
+def _hash_cells(tables: int, bits: int, dim: int):
+    """Arrow UDF from a vector to its cells: in each table, the side of each of `bits`
+    planes it lies on, and the table's number."""
+    planes = signs(tables, bits, dim)
+    weights = 1 << np.arange(bits)
 
-    The projections are drawn for unit vectors, where Euclidean distance and cosine
-    distance order alike.
-    """
+    @F.arrow_udf("array<bigint>")
+    def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            sides = flat.reshape(-1, dim) @ planes.T >= 0
+            codes = sides.reshape(-1, tables, bits) @ weights * tables + np.arange(tables)
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * tables
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1).astype(np.int64)))
+
+    return cells.asNondeterministic()
+
+
+def build_lsh(corpus: DataFrame, path: str, tables: int = 6, bits: int = 6) -> None:
+    """Write the hashed table of `corpus(id, embedding)`: a row per table and vector. A
+    search reads about tables / 2 ** bits of the rows, the more the more alike they are."""
+    spark = corpus.sparkSession
     known = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    model = BucketedRandomProjectionLSH(
-        inputCol="_u", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(
-        Normalizer(inputCol="_v", outputCol="_u").transform(
-            known.limit(1).select(
-                array_to_vector(F.col("embedding").cast("array<double>")).alias("_v")
-            )
-        )
-    )
-    model.write().overwrite().save(f"{path}/model")
-    hashed = _hash_cells(model, known)
+    first = known.select(F.size("embedding").alias("dim")).first()
+    setting = (tables, bits, first.dim if first else 1)
+    spark.createDataFrame([setting], "tables int, bits int, dim int").write.parquet(f"{path}/hash")
+    cells = _hash_cells(*setting)
+    hashed = known.withColumn("cells", cells("embedding"))
     _write_cells(hashed.select("id", "embedding", F.explode("cells").alias("cell")), path)
 
 
@@ -127,8 +111,9 @@ def search_lsh(
     block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """Approximate `nearest` over a table written by `build_lsh`."""
-    model = BucketedRandomProjectionLSHModel.load(f"{path}/model")
-    hashed = _hash_cells(model, queries.where(F.col("embedding").isNotNull()))
+    setting = spark.read.parquet(f"{path}/hash").first()
+    cells = _hash_cells(setting.tables, setting.bits, setting.dim)
+    hashed = queries.where(F.col("embedding").isNotNull()).withColumn("cells", cells("embedding"))
     return _search_cells(
         spark.read.parquet(f"{path}/cells"), hashed, k, max_distance, block_bytes
     )
@@ -140,12 +125,12 @@ def search_lsh(
 def _nearest_cells(centres: np.ndarray, n: int):
     """Arrow UDF from a vector to its `n` nearest centres, by cosine distance."""
     norms = np.linalg.norm(centres, axis=1, keepdims=True)
-    units = (centres / np.where(norms == 0, 1, norms)).astype(np.float32)
+    units = centres / np.where(norms == 0, 1, norms)
 
     @F.arrow_udf("array<bigint>")
     def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
+            flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             likeness = flat.reshape(len(batch), -1) @ units.T if len(batch) else np.zeros((0, n))
             best = np.argsort(-likeness, axis=1, kind="stable")[:, :n].astype(np.int64)
             offsets = np.arange(len(batch) + 1, dtype=np.int32) * best.shape[1]
@@ -159,27 +144,26 @@ def _centres(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([row.centre for row in rows])
 
 
-def build_clusters(corpus: DataFrame, path: str, cells: int = 256, seed: int = 7) -> None:
+def build_clusters(
+    corpus: DataFrame, path: str, cells: int = 256, seed: int = 7, centres: DataFrame | None = None
+) -> None:
     """Write `corpus(id, embedding)` clustered into `cells` cells.
 
-    The centres are fitted on a sample sized by the number of cells; every row is
-    then assigned and written.
+    The centres are fitted on all rows, unless `centres(cell, centre)` gives them; every
+    row is then assigned and written.
     """
     spark = corpus.sparkSession
     known = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    rows = known.count()
-    fraction = min(1.0, _TRAINING_ROWS_PER_CELL * cells / max(rows, 1))
-    training = known.select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    )
-    if fraction < 1:
-        training = training.sample(fraction, seed)
-    model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10).fit(training)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    spark.createDataFrame(centres, "cell bigint, centre array<double>").coalesce(1).write.parquet(
-        f"{path}/centres"
-    )
-    assign = _nearest_cells(np.array([c for _, c in centres]), 1)
+    if centres is None:
+        training = known.select(
+            array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+        )
+        model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10).fit(training)
+        fitted = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        centres = spark.createDataFrame(fitted, "cell bigint, centre array<double>")
+    centres = centres.select("cell", F.col("centre").cast("array<double>"))
+    centres.coalesce(1).write.parquet(f"{path}/centres")
+    assign = _nearest_cells(_centres(spark, path), 1)
     assigned = known.withColumn("cell", F.get(assign("embedding"), F.lit(0)))
     _write_cells(assigned, path)
 

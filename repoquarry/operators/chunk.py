@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repoquarry.functions.tokens import TOKEN_ATOMIC
+from repoquarry.functions.tokens import TOKEN_ATOMIC, token_count
 from repoquarry.params import STRUCTURED_LANGUAGES, IndexParams
 from repoquarry.session import let
 
@@ -27,11 +27,12 @@ def windows(parts: Column, size: int, overlap: int, separator: str) -> Column:
     )
 
 
-def split_by_chars(text: Column, limit: int) -> Column:
+def split_by_chars(text: Column, limit: int | Column) -> Column:
     """Pieces of at most `limit` characters; a text within it stays whole."""
-    last = F.ceil(F.length(text) / F.lit(limit)).cast("int") - 1
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    last = F.ceil(F.length(text) / limit).cast("int") - 1
     pieces = F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.substring(text, i * limit + 1, F.lit(limit))
+        F.sequence(F.lit(0), last), lambda i: F.substring(text, i * limit + 1, limit)
     )
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(pieces)
 
@@ -46,7 +47,8 @@ def line_windows(text: Column, lines: int, overlap: int, max_chars: int | None)
 
 # --- token windows -----------------------------------------------------------
 
-_MAX_PIECE = 256  # the regex engine nests once per token of a piece
+_PIECE = 64  # tokens; the regex engine nests once per token of a piece
+_CHARS_PER_TOKEN = 16  # beyond this on average, a chunk is one unbroken run and is cut
 
 
 def token_pieces(text: Column, limit: int) -> Column:
@@ -64,14 +66,56 @@ def token_pieces(text: Column, limit: int) -> Column:
 def token_windows(text: Column, max_tokens: int, overlap: int) -> Column:
     """Chunks of at most `max_tokens` tokens, neighbours sharing at most `overlap`.
 
-    The text is cut into pieces no larger than the overlap; a chunk is a window of
-    pieces, and neighbours share as many as the overlap allows.
+    Pieces are added to a chunk as long as its tokens stay within the budget; the next
+    chunk starts with the last pieces of this one that together stay within the overlap.
+    A chunk that is very long for its tokens is cut by characters.
     """
-    piece = min(overlap, max_tokens - overlap) if overlap else min(64, max_tokens)
-    piece //= -(-piece // _MAX_PIECE)
-    per_chunk = max_tokens // piece
-    shared = min(overlap // piece, per_chunk - 1)
-    return let(token_pieces(text, piece), lambda ps: windows(ps, per_chunk, shared, ""))
+    piece = min(_PIECE, overlap or _PIECE, max_tokens - overlap)
+    limit = max_tokens * _CHARS_PER_TOKEN
+
+    def from_pieces(pieces: Column) -> Column:
+        return let(
+            F.transform(pieces, token_count),
+            lambda counts: F.transform(
+                _fold_pieces(counts, max_tokens, overlap),
+                lambda r: F.array_join(F.slice(pieces, r["s"] + 1, r["e"] - r["s"]), ""),
+            ),
+        )
+
+    chunks = let(token_pieces(text, piece), from_pieces)
+    return F.flatten(F.transform(chunks, lambda c: split_by_chars(c, limit)))
+
+
+def _fold_pieces(counts: Column, budget: int, overlap: int) -> Column:
+    """Ranges of neighbouring pieces, filled in order up to the budget of tokens."""
+    state = "struct<s:int,n:int,done:array<struct<s:int,e:int>>>"
+
+    def total(start: Column, end: Column) -> Column:
+        return F.aggregate(F.slice(counts, start + 1, end - start), F.lit(0), lambda a, n: a + n)
+
+    def step(acc: Column, i: Column) -> Column:
+        n = F.get(counts, i)
+        # Of the pieces before, those that the next chunk starts with: each has a token.
+        first = F.greatest(acc["s"] + 1, i - overlap)
+        start = F.get(F.filter(F.sequence(first, i), lambda j: total(j, i) <= overlap), F.lit(0))
+        done = F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), i.alias("e"))))
+        fresh = let(
+            start, lambda j: F.struct(j.alias("s"), (total(j, i) + n).alias("n"), done.alias("done"))
+        )
+        grown = F.struct(acc["s"].alias("s"), (acc["n"] + n).alias("n"), acc["done"].alias("done"))
+        return F.when((acc["n"] + n <= budget) | (acc["s"] == i), grown).otherwise(fresh)
+
+    empty = F.from_json(F.lit('{"s":0,"n":0,"done":[]}'), state)
+    last = F.size(counts)
+    folded = F.aggregate(
+        F.sequence(F.lit(0), last - 1),
+        empty,
+        step,
+        lambda acc: F.concat(
+            acc["done"], F.array(F.struct(acc["s"].alias("s"), last.alias("e")))
+        ),
+    )
+    return F.when(last > 0, folded).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
 # --- declaration chunks ------------------------------------------------------
@@ -233,13 +277,44 @@ def declaration_chunks(
     return let(F.split(text, "\n", -1), from_lines)
 
 
+# --- notebooks ---------------------------------------------------------------
+
+
+def cell_chunks(text: Column, budget: int) -> Column:
+    """Chunks of whole cells of a notebook's text: neighbours together up to `budget`
+    characters, a larger cell cut to that size."""
+
+    def from_cells(cells: Column) -> Column:
+        one = F.transform(
+            F.sequence(F.lit(0), F.size(cells) - 1),
+            lambda i: F.struct(
+                i.alias("s"), (i + 1).alias("e"), F.length(F.get(cells, i)).alias("n")
+            ),
+        )
+        return F.flatten(
+            F.transform(
+                _pack_ranges(one, budget),
+                lambda r: split_by_chars(
+                    F.array_join(F.slice(cells, r["s"] + 1, r["e"] - r["s"]), "\n"),
+                    # Line breaks between cells are not counted as their size.
+                    F.when(r["n"] <= budget, budget + r["e"] - r["s"]).otherwise(budget),
+                ),
+            )
+        )
+
+    return let(F.split(text, r"\n(?=\n## \w+ Cell \d+\n)", -1), from_cells)
+
+
 # --- routing -----------------------------------------------------------------
 
 
-def route(text: Column, language: Column, params: IndexParams) -> Column:
-    """Chunks of a text by its language: declarations, lines, or tokens when the
-    language is unknown. One expression, so every file is read once."""
-    chunks = F.when(
+def route(
+    text: Column, language: Column, params: IndexParams, notebook: Column | None = None
+) -> Column:
+    """Chunks of a text: a notebook's by cells, others by their language: declarations,
+    lines, or tokens when it is unknown. One expression, so every file is read once."""
+    by_cell = F.lit(False) if notebook is None else notebook
+    chunks = F.when(by_cell, cell_chunks(text, params.max_chars)).when(
         language.isNull(), token_windows(text, params.max_tokens, params.token_overlap)
     )
     for name in STRUCTURED_LANGUAGES:

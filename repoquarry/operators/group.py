@@ -64,7 +64,7 @@ def group_line_windows(texts: DataFrame, lines: int, overlap: int) -> DataFrame:
     """Line windows over each group's text, one row per window.
 
     A file sends to every window it touches the lines it has in it, so a window
-    gathers at most `lines` parts.
+    gathers at most `lines` parts. `file_paths` names the files they come from.
     """
     stride = lines - overlap
     first, n, total = F.col("first_line"), F.col("lines"), F.col("group_lines")
@@ -86,27 +86,25 @@ def group_line_windows(texts: DataFrame, lines: int, overlap: int) -> DataFrame:
     )
     return (
         _with_offsets(texts)
-        .select(*GROUP, "first_line", explode_all(parts).alias("nth", "p"))
+        .select(*GROUP, "rel", "first_line", explode_all(parts).alias("nth", "p"))
         .groupBy(*GROUP, F.col("p.window").alias("window"))
-        .agg(F.sort_array(F.collect_list(F.struct("first_line", "p.t"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("first_line", "rel", "p.t"))).alias("parts"))
         .select(
             *GROUP,
             "window",
             F.array_join(F.transform("parts", lambda x: x["t"]), "\n").alias("chunk"),
+            F.transform("parts", lambda x: x["rel"]).alias("file_paths"),
         )
     )
 
 
+def path_pages(members: DataFrame, size: int) -> DataFrame:
+    """The paths of every group as lists of at most `size`, in order."""
+    page = F.floor(F.col("position") / size).alias("page")
+    return members.groupBy(*GROUP, page).agg(F.sort_array(F.collect_list("rel")).alias("file_paths"))
+
+
 def group_files(texts: DataFrame) -> DataFrame:
     """Every path of every group with its position: provenance in group scope."""
     paths = texts.select("repo_url", group_label(F.col("language")).alias("label"), "rel")
     return number_rows(paths, GROUP, ["rel"], "position", "files")
-
-
-def inline_group_files(members: DataFrame, limit: int) -> DataFrame:
-    """Path lists of the groups that have at most `limit` files."""
-    return (
-        members.where(F.col("files") <= limit)
-        .groupBy(*GROUP)
-        .agg(F.sort_array(F.collect_list("rel")).alias("file_paths"))
-    )

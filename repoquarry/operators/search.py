@@ -1,22 +1,25 @@
 """Exact top-k by cosine distance for whole tables of queries.
 
-Queries are few beside the corpus. A block of them, bounded in bytes, goes to every
-task; a task runs over its part of the corpus in Arrow batches, keeps the best k of
-each query, and emits only those. No pair of query and row is ever a row of its own,
-the corpus is not shuffled, and one pass serves the whole block. More queries than
-fit a block make more blocks, each a pass of its own.
+Queries and rows are packed into blocks by the executors, and every block of rows meets
+every block of queries; small query tables are broadcast. A task keeps the best k of each
+query, with matrix products over a block, and emits only those. No pair of query and row
+is ever a row of its own, and nothing of either table passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK_BYTES = 64 << 20
+from repoquarry.session import materialise
+
+QUERY_BLOCK_BYTES = 16 << 20
 _PAIR_BYTES = 128 << 20  # working set when distances are computed in full
 _PARTIAL = pa.schema(
     [("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]
@@ -117,91 +120,136 @@ class _Best:
         self.limit[q[full]] = np.nan_to_num(d[full], nan=np.inf)
 
 
-def _best_of_partition(query_ids, queries, cells_of_query, k, max_distance):
-    """Function for mapInArrow over (id, embedding) or (id, embedding, cell)."""
-    every = np.arange(len(query_ids))
-    members: dict[int, list[int]] = {}
-    for position, cells in enumerate(cells_of_query or []):
-        for cell in cells:
-            members.setdefault(int(cell), []).append(position)
+_CHUNK_BYTES = 8 << 20  # vectors of one row of packed vectors
+_PACKED = "ids binary, vectors binary, cells binary"
+_PACKED_SCHEMA = pa.schema([(name, pa.binary()) for name in ("ids", "vectors", "cells")])
+
+
+def _width(df: DataFrame) -> type:
+    wide = df.schema["embedding"].dataType.elementType.typeName() == "double"
+    return np.float64 if wide else np.float32
+
+
+def _packer(dim: int, rows: int, width: type):
+    """Function for mapInArrow from (id, embedding[, cell]) to rows of packed vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(queries, k, max_distance)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = _matrix(batch.column(1), queries.shape[1])
-            if cells_of_query is None:
-                best.add(ids, vectors, every)
-                continue
-            cells = batch.column(2).to_numpy(zero_copy_only=False)
-            for cell in np.unique(cells):
-                if int(cell) in members:
-                    here = cells == cell
-                    best.add(ids[here], vectors[here], np.array(members[int(cell)]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[best.q]), pa.array(best.id), pa.array(best.d)], schema=_PARTIAL
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                vectors = np.ascontiguousarray(_matrix(part.column(1), dim), dtype=width)
+                cells = None
+                if part.num_columns > 2:
+                    cells = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+                packed = [[ids.tobytes()], [vectors.tobytes()], [cells]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(p, pa.binary()) for p in packed], schema=_PACKED_SCHEMA
+                )
+
+    return run
+
+
+def _query_packer(dim: int, width: type):
+    """Function for applyInPandas from the queries of a block to one packed row. Of cells,
+    every query has the same number."""
+
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        lengths = rows["embedding"].map(len)
+        if (lengths != dim).any():
+            raise ValueError(f"embeddings must all have {dim} dimensions")
+        cells = None
+        if "cells" in rows:
+            cells = np.array([list(c) for c in rows["cells"]], np.int64).tobytes()
+        return pd.DataFrame(
+            {
+                "block": [key[0]],
+                "q_ids": [rows["query_id"].to_numpy(np.int64).tobytes()],
+                "q_vectors": [np.stack(rows["embedding"].to_list()).astype(width).tobytes()],
+                "q_cells": [cells],
+            }
         )
 
     return run
 
 
-def _at_no_distance(query_ids):
-    """Function for mapInArrow that gives each query the few rows it is handed."""
+def _searcher(dim: int, k: int, max_distance: float | None, width: type, q_width: type):
+    """Function for mapInArrow over (block, packed vectors, packed queries). Rows of one
+    block that follow each other share their best k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, query_ids, members, current = None, None, None, None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            n = len(ids) * len(query_ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(query_ids, len(ids))),
-                    pa.array(np.tile(ids, len(query_ids))),
-                    pa.nulls(n, pa.float64()),
-                ],
-                schema=_PARTIAL,
-            )
+            for row in range(batch.num_rows):
+                block, ids, vectors, cells, q_ids, q_vectors, q_cells = (
+                    column[row].as_py() for column in batch.columns
+                )
+                if block != current:
+                    if best is not None:
+                        yield _partial(query_ids, best)
+                    current, query_ids = block, np.frombuffer(q_ids, np.int64)
+                    asked = np.frombuffer(q_vectors, q_width).reshape(-1, dim)
+                    best, members = _Best(asked, k, max_distance), None
+                    if q_cells is not None:
+                        own = np.frombuffer(q_cells, np.int64).reshape(len(query_ids), -1)
+                        members = {c: np.flatnonzero((own == c).any(axis=1)) for c in np.unique(own)}
+                ids = np.frombuffer(ids, np.int64)
+                vectors = np.frombuffer(vectors, width).reshape(-1, dim)
+                if members is None:
+                    best.add(ids, vectors, np.arange(len(query_ids)))
+                    continue
+                cells = np.frombuffer(cells, np.int64)
+                for cell in np.unique(cells):
+                    if cell in members:
+                        here = cells == cell
+                        best.add(ids[here], vectors[here], members[cell])
+        if best is not None:
+            yield _partial(query_ids, best)
 
     return run
 
 
-def query_blocks(queries: DataFrame, block_bytes: int = QUERY_BLOCK_BYTES) -> Iterator[tuple]:
-    """Queries (query_id, embedding[, cells]) as arrays, one bounded block after
-    another: (ids, matrix[, cells]).
+def _partial(query_ids: np.ndarray, best: _Best) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query_ids[best.q]), pa.array(best.id), pa.array(best.d)], schema=_PARTIAL
+    )
 
-    The number of blocks follows from a count. A block is a hash share of the
-    queries, filled to half its size on average.
-    """
-    columns = [c for c in ("query_id", "embedding", "cells") if c in queries.columns]
-    known = queries.where(F.col("embedding").isNotNull()).select(*columns)
-    n, dim = known.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    if not n:
-        return
-    size = n * dim * 4
-    blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
-    for block in range(blocks):
-        share = known
-        if blocks > 1:
-            share = known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        table = share.toArrow()
-        if table.num_rows:
-            matrix = np.ascontiguousarray(_matrix(table.column("embedding"), dim))
-            cells = [table.column("cells").to_pylist()] if "cells" in columns else []
-            yield table.column("query_id").to_numpy(), matrix, *cells
-
-
-def search_block(
+
+def search_blocks(
     corpus: DataFrame,
-    query_ids: np.ndarray,
-    queries: np.ndarray,
+    queries: DataFrame,
     k: int,
     max_distance: float | None = None,
-    cells_of_query: list | None = None,
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
-    """Best k per query and corpus partition, for one block of queries."""
-    fn = _best_of_partition(query_ids, queries, cells_of_query, k, max_distance)
-    return corpus.mapInArrow(fn, "query_id bigint, id bigint, distance double")
+    """Best k of each query in parts of the corpus, (query_id, id, distance).
+
+    `corpus(id, embedding)` and `queries(query_id, embedding)`; with a `cell` of the rows and
+    `cells` of the queries, only rows in a query's cells are compared with it. Queries are
+    packed in blocks of about `block_bytes`, rows in smaller ones, both by the executors.
+    Every packed row meets every block; Spark broadcasts the blocks if they are small.
+    """
+    spark = corpus.sparkSession
+    n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id bigint, id bigint, distance double")
+    blocks = -(-n * dim * 4 // block_bytes)
+    packed = materialise(
+        queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).applyInPandas(
+            _query_packer(dim, _width(queries)), "block bigint, q_ids binary, q_vectors binary, q_cells binary"
+        ),
+        "query-blocks",
+    )
+    numbers = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")
+    width, q_width = _width(corpus), _width(queries)
+    rows = corpus.mapInArrow(_packer(dim, max(1, _CHUNK_BYTES // (4 * dim)), width), _PACKED)
+    met = rows.withColumn("block", F.explode(numbers)).join(packed, "block")
+    met = met.select("block", "ids", "vectors", "cells", "q_ids", "q_vectors", "q_cells")
+    if blocks > 1:
+        met = met.sortWithinPartitions("block")
+    return met.mapInArrow(
+        _searcher(dim, k, max_distance, width, q_width), "query_id bigint, id bigint, distance double"
+    )
 
 
 def rank_candidates(candidates: DataFrame, k: int) -> DataFrame:
@@ -225,18 +273,15 @@ def nearest(
     after all numbers. Rows without an embedding are left out, or with
     `keep_unembedded` follow last, with a NULL distance.
     """
-    spark = corpus.sparkSession
     known = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    result = spark.createDataFrame([], "query_id bigint, id bigint, distance double")
-    for ids, vectors in query_blocks(queries, block_bytes):
-        found = search_block(known, ids, vectors, k, max_distance)
-        result = result.unionByName(found)
-        if keep_unembedded:
-            # Only the k lowest ids can be needed, for each query alike.
-            missing = corpus.where(F.col("embedding").isNull()).select("id").orderBy("id").limit(k)
-            rest = missing.mapInArrow(_at_no_distance(ids), result.schema)
-            result = result.unionByName(rest)
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    result = search_blocks(known, asked, k, max_distance, block_bytes)
     if keep_unembedded:
+        # Only the k lowest ids can be needed, for each query alike.
+        missing = corpus.where(F.col("embedding").isNull()).select("id").orderBy("id").limit(k)
+        last = F.array(*[F.lit(row.id) for row in missing.collect()]).cast("array<bigint>")
+        rest = asked.select("query_id", F.explode(last).alias("id"), F.lit(None).cast("double").alias("distance"))
         order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
+        result = result.unionByName(rest)
         return result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return rank_candidates(result, k)

@@ -54,9 +54,11 @@ def with_texts(files: DataFrame) -> DataFrame:
 
 
 def file_state(reason: Column, error: Column, text: Column) -> Column:
-    """What became of a listed file: skipped, failed, blank or kept."""
+    """What became of a listed file: skipped, failed, blank or kept. One that could not
+    be listed has an error and no size."""
+    unlisted = (reason == "ignored") & error.isNotNull()
     return (
-        F.when(reason != "ok", "skipped")
+        F.when((reason != "ok") & ~unlisted, "skipped")
         .when(error.isNotNull(), "failed")
         .when(is_blank(text), "blank")
         .otherwise("kept")
@@ -64,9 +66,12 @@ def file_state(reason: Column, error: Column, text: Column) -> Column:
 
 
 def split_repo_urls(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manifest rows with a valid repository URL, and the others."""
-    valid = is_repo_url(F.col("repo_url"))
-    return manifest.where(valid), manifest.where(~valid)
+    """Manifest rows with a valid repository URL that is there once, and the others."""
+    twice = manifest.groupBy("repo_url").count().where("count > 1").select("repo_url")
+    known = manifest.join(twice.withColumn("_twice", F.lit(True)), "repo_url", "left")
+    valid = F.coalesce(is_repo_url(F.col("repo_url")), F.lit(False)) & F.col("_twice").isNull()
+    good, bad = known.where(valid), known.where(~valid)
+    return good.select(manifest.columns), bad.select(manifest.columns)
 
 
 def file_counts(states: DataFrame) -> DataFrame:

@@ -73,15 +73,13 @@ class IndexParams:
     declaration_overlap: int = 3
     expand_chunks: bool = False
     # "file": every chunk comes from one file and names it.
-    # "group": line windows run over all files of a language, chunks name them all.
+    # "group": line windows run over all files of a language; a chunk names the files it
+    # has lines of, and the index keeps every path of every group.
     scope: str = "file"
-    # Longest file list written into a chunk row in group scope. Longer lists are
-    # left to the `group_files` table, which always holds every path.
-    inline_paths: int = 1000
     dim: int = 1536
     batch_size: int = 32
     embed_partitions: int | None = None
-    on_error: str = "quarantine"
+    on_error: str = "fail"
     repo_buckets: int = 64
 
     def __post_init__(self) -> None:

@@ -118,7 +118,9 @@ def _writer(root: str):
 def write_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Write the documents as files, a folder per source, by the executors; returns
     the manifest of the snapshots."""
-    root = scratch_path(spark, "snapshots").removeprefix("file:")
+    root = scratch_path(spark, "snapshots").removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise RuntimeError(f"snapshots are files below a mounted folder, not in {root}")
     url = F.concat(F.lit("https://github.com/o/"), "repo_url")
     written = (
         file_rows(spark, sf)

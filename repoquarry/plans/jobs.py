@@ -9,16 +9,15 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions.text import remove_nul
+from repoquarry.functions.paths import is_notebook
+from repoquarry.functions.text import is_blank, remove_nul
 from repoquarry.operators.chunk import route, split_by_chars, with_path_header
 from repoquarry.operators.dedup import digests, first_of_equals, kept_chunks, number_kept
 from repoquarry.operators.embed import Embedder, HashEmbedder, check_content, embed_column
 from repoquarry.operators.group import (
-    GROUP,
     group_files,
     group_label,
     group_line_windows,
-    inline_group_files,
     language_groups,
 )
 from repoquarry.operators.numbering import dense_numbers, running_totals
@@ -42,7 +41,7 @@ from repoquarry.params import (
 from repoquarry.sources.documents import as_documents, one_document
 from repoquarry.sources.index_table import REFUSED, IndexTable
 from repoquarry.sources.repo_files import list_files, read_files
-from repoquarry.session import materialise, task_count
+from repoquarry.session import materialise, tasks_for
 
 # --- chunking ----------------------------------------------------------------
 
@@ -62,16 +61,18 @@ def _line_language(label: Column) -> Column:
 
 
 def _file_units(files: DataFrame, params: IndexParams) -> DataFrame:
-    """A row per listed file with its state and, for a kept one, chunks and digests.
+    """A row per listed file with its state and, for a kept one, chunks and digests. Chunks
+    of white space only, which cannot be embedded, are left out before anything counts them.
 
     In group scope the files of line languages keep their text instead; they are
     cut as groups in a second step.
     """
     by_group = params.scope == "group"
     text, language = F.col("text"), F.col("language")
-    chunks = route(text, language, params)
+    chunks = route(text, language, params, is_notebook(F.col("rel")))
     if params.expand_chunks:
         chunks = F.transform(chunks, lambda c: with_path_header(F.col("rel"), c))
+    chunks = F.filter(chunks, lambda c: ~is_blank(c))
     in_group = _line_language(F.col("label")) if by_group else F.lit(False)
     kept = F.col("state") == "kept"
     return (
@@ -98,19 +99,28 @@ def _group_units(files: DataFrame, params: IndexParams) -> DataFrame:
     """Units of the line languages in group scope: a row per window of a group."""
     windows = group_line_windows(files, params.chunk_lines, params.chunk_lines_overlap)
     commits = files.groupBy("repo_url").agg(F.first("commit", ignorenulls=True).alias("commit"))
-    chunks = split_by_chars(F.col("chunk"), params.max_chars)
+    chunks = F.filter(split_by_chars(F.col("chunk"), params.max_chars), lambda c: ~is_blank(c))
     return windows.join(commits, "repo_url").select(
         "repo_url",
         "commit",
         "label",
         F.lpad(F.col("window").cast("string"), 19, "0").alias("unit"),
         F.lit(None).cast("string").alias("rel"),
+        "file_paths",
         F.col("label").alias("language"),
         chunks.alias("chunks"),
         digests(chunks).alias("digests"),
     )
 
 
+def _check_paths(states: DataFrame) -> None:
+    """Chunks are numbered by their place in a repository's files, so a path may be there
+    once only. Two snapshots of one repository are two jobs."""
+    twice = states.groupBy("repo_url", "rel").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0].rel} is there more than once in {twice[0].repo_url}")
+
+
 def build_chunks(files: DataFrame, params: IndexParams = IndexParams()) -> Chunked:
     """Chunk, deduplicate and number the files of any number of repositories.
 
@@ -123,6 +133,7 @@ def build_chunks(files: DataFrame, params: IndexParams = IndexParams()) -> Chunk
         "reason", F.col("decision.reason")
     )
     states = materialise(_file_units(with_texts(decided), params), "files")
+    _check_paths(states)
     kept = states.where(F.col("state") == "kept")
     units = kept.where(F.col("chunks").isNotNull()).select(
         "repo_url",
@@ -130,6 +141,7 @@ def build_chunks(files: DataFrame, params: IndexParams = IndexParams()) -> Chunk
         "label",
         F.col("rel").alias("unit"),
         "rel",
+        F.array("rel").alias("file_paths"),
         "language",
         "chunks",
         "digests",
@@ -141,11 +153,6 @@ def build_chunks(files: DataFrame, params: IndexParams = IndexParams()) -> Chunk
         units = units.unionByName(materialise(lines, "windows"))
     numbered = number_kept(first_of_equals(units, language_groups(kept)))
     chunks = kept_chunks(units, numbered)
-    if params.scope == "group":
-        paths = inline_group_files(members, params.inline_paths)
-        chunks = chunks.join(paths, GROUP, "left")
-    else:
-        chunks = chunks.withColumn("file_paths", F.array("rel"))
     meta = F.struct(
         F.lit(SOURCE_STAMP).alias("source"),
         "repo_url",
@@ -202,13 +209,25 @@ def assign_ids(docs: DataFrame, base: int, order: list[str]) -> DataFrame:
     return numbered.withColumn("id", F.coalesce("id", F.col("_n") + base + 1)).drop("_n", "_t")
 
 
-def _check_ids(table: IndexTable, docs: DataFrame, surviving: DataFrame) -> None:
-    twice = docs.groupBy("id").count().where("count > 1").select("id").limit(1).collect()
-    taken = twice or docs.select("id").join(surviving.select("id"), "id", "left_semi").take(1)
+def _check_replaced(refused: DataFrame, replaced: DataFrame) -> None:
+    """Old rows are only given up for a whole set of new ones."""
+    lost = refused.distinct().join(replaced, "repo_url", "left_semi").take(1)
+    if lost:
+        raise NotReplaced(f"{lost[0].repo_url} has documents that got no embedding")
+
+
+def _check_ids(table: IndexTable, docs: DataFrame, surviving: DataFrame | None) -> None:
+    taken = docs.groupBy("id").count().where("count > 1").select("id").limit(1).collect()
+    if not taken and surviving is not None:
+        taken = docs.select("id").join(surviving.select("id"), "id", "left_semi").take(1)
     if taken:
         raise ValueError(f"id {taken[0].id} is used more than once")
 
 
+class NotReplaced(RuntimeError):
+    """New rows of a repository got no embedding; the index keeps its old ones."""
+
+
 def ingest(
     table: IndexTable,
     docs: DataFrame,
@@ -218,14 +237,17 @@ def ingest(
     clear_existing: bool = False,
     dense_seq: bool = False,
     batch: tuple[str, int] | None = None,
+    members: DataFrame | None = None,
 ) -> Ingested:
     """Embed and store documents: `content`, and optionally `meta`, `id`, `repo_url`
     and `seq`, a unique column that tells their order. With `dense_seq` it counts
     from 0 without gaps, and new ids simply add to it. `batch` names a stream and its
-    batch, recorded together with the rows.
+    batch, recorded together with the rows. `members` are the files of the groups that
+    chunks name, stored and published with them.
 
     With `clear_existing` the repositories among the documents lose their old rows.
-    Old and new state change over in one step, after the new rows were checked.
+    Old and new state change over in one step, after the new rows were checked. If a
+    document of such a repository is refused, nothing changes and the job fails.
     """
     spark = table.spark
     manifest = table.manifest()
@@ -243,6 +265,7 @@ def ingest(
         F.count_if(usable).alias("usable"),
         F.coalesce(F.max(F.when(usable, F.col("id"))), F.lit(0)).alias("max_id"),
         F.count_if(usable & F.col("id").isNotNull()).alias("with_id"),
+        F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"),
     ).first()
     if not seen["all"]:
         raise NoDocuments("there are no documents to ingest")
@@ -270,6 +293,11 @@ def ingest(
         if touched:
             survivors = survivors.join(replaced, "repo_url", "left_anti")
         _check_ids(table, ids, survivors)
+    elif dense_seq:
+        _check_ids(table, ids, None)
+    if clear_existing:
+        bad = staged.where(~usable & F.col("repo_url").isNotNull()).select("repo_url")
+        _check_replaced(bad, replaced)
 
     now = local_now()
     rows = rows.withColumn("created_at", now).withColumn("updated_at", now)
@@ -283,10 +311,10 @@ def ingest(
         )
     # Texts are laid out before they are embedded, so that vectors, which are larger,
     # are written where they were made and never shuffled. Embedding is costly for
-    # the size of a text, so the number of tasks is set and does not follow from it;
-    # no more are of use than there are requests to make.
+    # the size of a text: tasks fill all slots as long as there are requests to make, and
+    # grow in number with the texts, so that none has more than `TASK_BYTES`.
     requests = -(-seen.usable // params.batch_size)
-    tasks = params.embed_partitions or max(1, min(task_count(spark), requests))
+    tasks = params.embed_partitions or tasks_for(spark, requests, seen["bytes"])
     rows = table.laid_out(rows, manifest.buckets, tasks)
     rows = embed_column(rows, "content", embedder, params.batch_size, params.on_error)
     run = table.write_run(rows.withColumn("content", remove_nul(F.col("content"))))
@@ -305,11 +333,18 @@ def ingest(
         raise RuntimeError(
             f"{counts['all']} of {seen.usable} rows written, {counts.wrong} without a vector"
         )
+    if clear_existing and counts.stored < counts["all"]:
+        try:
+            _check_replaced(written.where(refused).select("repo_url"), replaced)
+        except NotReplaced:
+            table.discard_run(run)
+            raise
     deleted, runs = 0, [run]
     if touched:
         runs.append(table.write_survivors(replaced, manifest, touched))
         deleted = table.rows_in(touched, manifest) - table.read_run(runs[1]).count()
-    table.publish_runs(runs, manifest, counts.max_id, touched, batch)
+    files_run = table.write_members(members) if members is not None else None
+    table.publish_runs(runs, manifest, counts.max_id, touched, batch, files_run)
 
     failed = written.where(refused).select("id", "embed_error").join(ids, "id")
     quarantine = staged.where(F.col("error").isNotNull()).unionByName(
@@ -355,7 +390,13 @@ def index_files(
     docs = chunked.chunks.withColumnRenamed("ordinal", "seq")
     try:
         return chunked, ingest(
-            table, docs, embedder, params, clear_existing=clear_existing, dense_seq=True
+            table,
+            docs,
+            embedder,
+            params,
+            clear_existing=clear_existing,
+            dense_seq=True,
+            members=chunked.group_files,
         )
     except NoDocuments:
         return chunked, None
@@ -370,22 +411,27 @@ def index_repositories(
 ) -> Indexed:
     """Index snapshots `manifest(repo_url, commit, root)` of repositories.
 
-    Files are listed and chosen by name and size; only chosen ones are read.
+    Files are listed and chosen by name and size; only chosen ones are read. A repository
+    of which a folder or file cannot be listed is not indexed: it keeps the rows it has, and
+    the summary and the failures name it. A repository that is there twice is a bad URL.
     """
     good, bad = split_repo_urls(manifest)
     found = decide(listed(list_files(good)), params.max_bytes)
-    included = found.where("decision.include").drop("decision")
-    others = found.where("NOT decision.include").drop("decision", "root")
-    files = read_files(included).unionByName(others, allowMissingColumns=True)
+    partial = found.where(F.col("error").isNotNull()).select("repo_url").distinct()
+    whole = found.join(partial, "repo_url", "left_anti")
+    included = whole.where("decision.include").drop("decision", "error")
+    others = whole.where("NOT decision.include").unionByName(
+        found.where(F.col("error").isNotNull())
+    )
+    files = read_files(included).unionByName(
+        others.drop("decision", "root"), allowMissingColumns=True
+    )
     chunked, done = index_files(table, files, params, embedder, clear_existing)
     return Indexed(chunked.summary, done, chunked.failures, bad)
 
 
 # --- searching ---------------------------------------------------------------
 
-_FEW_IDS = 1000
-
-
 def embed_queries(queries: DataFrame, embedder: Embedder, batch_size: int = 32) -> DataFrame:
     """(query_id, query, embedding); a blank query stops the job."""
     checked = check_content(queries, "query", "fail").where(F.col("error").isNull())
@@ -398,33 +444,32 @@ def search(
     embedder: Embedder | None = None,
     k: int = 2,
     max_distance: float | None = None,
+    with_embedding: bool = False,
 ) -> DataFrame:
     """The k stored rows nearest to each of `queries(query_id, query)`:
     (query_id, rank, distance) and the columns of the index.
 
-    The search reads ids and vectors only; the rows found are then fetched by their
-    bucket and id.
+    The search reads ids and vectors only. The rows found are then fetched by their
+    bucket and id, without the vectors unless `with_embedding`.
     """
     manifest = table.manifest()
     embedder = embedder or HashEmbedder(manifest.dim)
     rows = table.read(manifest)
     vectors = materialise(embed_queries(queries, embedder), "queries")
     hits = nearest(rows.select("id", "embedding"), vectors, k, max_distance)
-    return fetch(rows, hits)
+    return fetch(rows if with_embedding else rows.drop("embedding"), hits)
 
 
 def fetch(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Stored rows of search results.
 
-    A few ids are given to the scan as values, which lets it skip row groups by
-    their range of ids. Otherwise this is a join, and Spark broadcasts the hits when
-    they turn out small.
+    The ids alone tell the buckets, of which a table has a set number; only their folders
+    are read, and within them the join is on bucket and id.
     """
-    hits = materialise(hits, "hits")
-    ids = [row.id for row in hits.select("id").distinct().limit(_FEW_IDS + 1).collect()]
-    if len(ids) <= _FEW_IDS:
-        rows = rows.where(F.col("id").isin(ids))
-    return hits.join(rows, "id").select(
+    found = materialise(hits.join(rows.select("id", "repo_bucket"), "id"), "hits")
+    buckets = [row.repo_bucket for row in found.select("repo_bucket").distinct().collect()]
+    near = rows.where(F.col("repo_bucket").isin(buckets))
+    return found.join(near, ["repo_bucket", "id"]).select(
         "query_id", "rank", "distance", *[c for c in rows.columns if c != "repo_bucket"]
     )
 

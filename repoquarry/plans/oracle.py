@@ -155,11 +155,11 @@ def _line_ctes(name: str, source: str, lines: int, overlap: int, max_chars: int
                     array_to_string(l[w * {stride} + 1 : w * {stride} + {lines}], chr(10)) AS t
              FROM {name}_k),
 {name}_p AS ({pieces}),
-{name} AS (SELECT k1, k2, row_number() OVER (PARTITION BY k1, k2 ORDER BY w, i) - 1 AS pos, chunk
+{name} AS (SELECT k1, k2, row_number() OVER (PARTITION BY k1, k2 ORDER BY w, i) - 1 AS pos, w, chunk
            FROM {name}_p)"""
 
 
-def _token_ctes(name: str, source: str, piece: int = 64, size: int = 16, stride: int = 15) -> str:
+def _token_ctes(name: str, source: str, piece: int = 64, budget: int = 1024, overlap: int = 64) -> str:
     frame = f"OVER (PARTITION BY k1, k2 ORDER BY i ROWS BETWEEN CURRENT ROW AND {piece - 1} FOLLOWING)"
     return rf"""
 {name}_s AS (SELECT k1, k2, regexp_extract(text, '^\s*') AS head,
@@ -181,12 +181,26 @@ def _token_ctes(name: str, source: str, piece: int = 64, size: int = 16, stride:
                       || array_to_string(s.toks[g.i : x.e], '') AS t
              FROM {name}_g g JOIN {name}_e x USING (k1, k2, i) JOIN {name}_s s USING (k1, k2)),
 {name}_l AS (SELECT k1, k2, list(t ORDER BY p) AS ps FROM {name}_q GROUP BY k1, k2),
-{name}_k AS (SELECT k1, k2, ps,
-                    unnest(range(ceil(greatest(len(ps) - {size - stride}, 1) / {stride}.0)::BIGINT)) AS w
-             FROM {name}_l),
-{name} AS (SELECT k1, k2, w AS pos,
-                  array_to_string(ps[w * {stride} + 1 : w * {stride} + {size}], '') AS chunk
-           FROM {name}_k)"""
+{name}_c AS (SELECT k1, k2, p, n, sum(n) OVER (PARTITION BY k1, k2 ORDER BY p) AS c
+             FROM (SELECT k1, k2, p,
+                          len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS n
+                   FROM {name}_q)),
+{name}_m AS (SELECT a.k1, a.k2, a.p AS s, max(v.p) AS e, max(v.c) AS c
+             FROM {name}_c a JOIN {name}_c v
+               ON a.k1 = v.k1 AND a.k2 = v.k2 AND v.p >= a.p AND v.c - a.c + a.n <= {budget}
+             GROUP BY a.k1, a.k2, a.p),
+{name}_x AS (SELECT m.k1, m.k2, m.s, m.e, min(w.p) AS next
+             FROM {name}_m m LEFT JOIN {name}_c w
+               ON m.k1 = w.k1 AND m.k2 = w.k2 AND w.p > m.s AND w.p <= m.e + 1
+                  AND m.c - w.c + w.n <= {overlap}
+             GROUP BY m.k1, m.k2, m.s, m.e),
+{name}_h AS (SELECT k1, k2, s, e, next, 0::BIGINT AS pos FROM {name}_x WHERE s = 0
+             UNION ALL
+             SELECT x.k1, x.k2, x.s, x.e, x.next, h.pos + 1
+             FROM {name}_h h JOIN {name}_x x ON x.k1 = h.k1 AND x.k2 = h.k2 AND x.s = h.next
+               JOIN {name}_l l ON l.k1 = h.k1 AND l.k2 = h.k2 AND h.e < len(l.ps) - 1),
+{name} AS (SELECT k1, k2, pos, array_to_string(ps[s + 1 : e + 1], '') AS chunk
+           FROM {name}_h JOIN {name}_l USING (k1, k2))"""
 
 
 _PYTHON = (r"^\s*(?:async\s+def|def|class)\s", r"^\s*[@#]")
@@ -273,6 +287,23 @@ char_pieces = """
 WITH p AS (SELECT page_id, html, unnest(range(greatest(ceil(length(html) / 500.0), 1)::BIGINT)) AS pos
            FROM pages)
 SELECT page_id, pos, substr(html, pos * 500 + 1, 500) AS chunk FROM p"""
+notebook_chunks = """
+WITH c AS (
+  SELECT doc_id, 1 AS i, chr(10) || '## Code Cell 1' || chr(10) || '```python' || chr(10) || text
+         || chr(10) || chr(10) || '```' AS t FROM documents
+  UNION ALL SELECT doc_id, 2, chr(10) || '## Markdown Cell 3' || chr(10) || text FROM documents
+  UNION ALL SELECT doc_id, 3, chr(10) || '## Raw Cell 4' || chr(10) || text FROM documents),
+n AS (SELECT doc_id, max(length(t)) FILTER (i = 1) AS a, max(length(t)) FILTER (i = 2) AS b,
+             max(length(t)) FILTER (i = 3) AS c FROM c GROUP BY doc_id),
+g AS (SELECT doc_id, (a + b > 1024)::INT AS g2,
+             (CASE WHEN a + b > 1024 THEN b ELSE a + b END + c > 1024)::INT AS g3 FROM n),
+p AS (SELECT doc_id, CASE i WHEN 1 THEN 0 WHEN 2 THEN g2 ELSE g2 + g3 END AS g,
+             string_agg(t, chr(10) ORDER BY i) AS t, sum(length(t)) AS n
+      FROM c JOIN g USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT doc_id, g, t, n, unnest(range(CASE WHEN n <= 1024 THEN 1
+             ELSE ceil(length(t) / 1024.0)::BIGINT END)) AS j FROM p)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, j) - 1 AS pos,
+       CASE WHEN n <= 1024 THEN t ELSE substr(t, j * 1024 + 1, 1024) END AS chunk FROM x"""
 token_chunks = f"WITH RECURSIVE {_token_ctes('c', _DOCS)} {_SHOW}"
 struct_chunks = f"WITH RECURSIVE {_declaration_ctes('c', _CODE, _PYTHON, 3)} {_SHOW}"
 expanded_chunks = f"""
@@ -292,7 +323,7 @@ def _routed(where: str = "true") -> str:
 {_declaration_ctes('ja', of('%.java'), _JAVA, 3)}, {_line_ctes('js', of('%.js'), 40, 15, 1024)},
 {_token_ctes('ot', other)},
 routed AS (SELECT *, 'python' AS language FROM py UNION ALL SELECT *, 'java' FROM ja
-           UNION ALL SELECT *, 'javascript' FROM js UNION ALL SELECT *, NULL FROM ot)"""
+           UNION ALL SELECT k1, k2, pos, chunk, 'javascript' FROM js UNION ALL SELECT *, NULL FROM ot)"""
 
 
 routed_chunks = f"""
@@ -320,9 +351,23 @@ FROM u"""
 _JOINED = """SELECT repo_url AS k1, label AS k2, string_agg(text, chr(10) ORDER BY rel) AS text
              FROM g GROUP BY repo_url, label"""
 
+
+
+def _window_files(name: str, source: str, groups: str, lines: int = 40, stride: int = 25) -> str:
+    """The files with lines in each window of their group: (k1, k2, w, file_paths)."""
+    return f"""
+{name}_n AS (SELECT {groups}, rel, len(string_split(text, chr(10))) AS n FROM {source}),
+{name}_o AS (SELECT *, sum(n) OVER (PARTITION BY k1, k2 ORDER BY rel) - n AS first FROM {name}_n),
+{name}_w AS (SELECT *, unnest(range(greatest((first - {lines}) // {stride} - 1, 0)::BIGINT,
+                                    ((first + n - 1) // {stride} + 1)::BIGINT)) AS w FROM {name}_o),
+{name} AS (SELECT k1, k2, w, string_agg(rel, '|' ORDER BY first) AS file_paths FROM {name}_w
+           WHERE first < w * {stride} + {lines} AND first + n > w * {stride} GROUP BY k1, k2, w)"""
+
+
 group_line_chunks = f"""
-WITH {_GROUPED}, {_line_ctes('c', _JOINED, 40, 15, None)}
-SELECT k1 AS repo_url, k2 AS label, pos AS "window", chunk FROM c"""
+WITH {_GROUPED}, {_line_ctes('c', _JOINED, 40, 15, None)},
+{_window_files('f', 'g', 'repo_url AS k1, label AS k2')}
+SELECT k1 AS repo_url, k2 AS label, pos AS "window", chunk, file_paths FROM c JOIN f USING (k1, k2, w)"""
 
 group_file_paths = f"""
 WITH {_GROUPED}
@@ -332,9 +377,11 @@ SELECT repo_url, label, rel,
 FROM g"""
 
 group_path_lists = f"""
-WITH {_GROUPED}
-SELECT repo_url, label, string_agg(rel, '|' ORDER BY rel) AS file_paths
-FROM g GROUP BY repo_url, label"""
+WITH {_GROUPED}, p AS (
+  SELECT repo_url, label, rel,
+         (row_number() OVER (PARTITION BY repo_url, label ORDER BY rel) - 1) // 100 AS page FROM g)
+SELECT repo_url, label, page, string_agg(rel, '|' ORDER BY rel) AS file_paths
+FROM p GROUP BY repo_url, label, page"""
 
 _BY_FILE = "SELECT repo_url AS k1, rel AS k2, text FROM files"
 
@@ -379,7 +426,7 @@ firsts AS (SELECT repo_url, {_LABEL} AS label, min(rel) AS first_rel
            FROM files WHERE {_INCLUDED} GROUP BY 1, 2),
 placed AS (SELECT k1 AS repo_url, first_rel, k2 AS rel, pos, chunk
            FROM routed JOIN firsts ON k1 = repo_url AND coalesce(language, 'semantic') = label),
-kept AS (SELECT * FROM placed
+kept AS (SELECT * FROM placed WHERE regexp_matches(chunk, '\\S')
          QUALIFY row_number() OVER (PARTITION BY repo_url, chunk ORDER BY first_rel, rel, pos) = 1)"""
 
 indexed_chunks = f"""
@@ -410,12 +457,20 @@ _JS_JOINED = """SELECT repo_url AS k1, 0 AS k2, string_agg(text, chr(10) ORDER B
 
 group_scope_chunks = f"""
 WITH {_JS}, {_line_ctes('c', _JS_JOINED, 40, 15, 1024)},
-kept AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k1, chunk ORDER BY pos) = 1),
-paths AS (SELECT repo_url, string_agg(rel, '|' ORDER BY rel) AS file_paths FROM js GROUP BY repo_url)
+kept AS (SELECT * FROM c WHERE regexp_matches(chunk, '\\S')
+         QUALIFY row_number() OVER (PARTITION BY k1, chunk ORDER BY pos) = 1),
+{_window_files('f', 'js', 'repo_url AS k1, 0 AS k2')}
 SELECT k1 AS repo_url, chunk AS content, file_paths,
        row_number() OVER (PARTITION BY k1 ORDER BY pos) - 1 AS chunk_index,
        count(*) OVER (PARTITION BY k1) AS total_chunks
-FROM kept JOIN paths ON k1 = repo_url"""
+FROM kept JOIN f USING (k1, k2, w)"""
+
+stored_group_files = f"""
+WITH {_GROUPED}
+SELECT repo_url, label, rel,
+       row_number() OVER (PARTITION BY repo_url, label ORDER BY rel) - 1 AS position,
+       count(*) OVER (PARTITION BY repo_url, label) AS files
+FROM g WHERE strlen(text) <= 51200 AND rel NOT LIKE '%.png'"""
 
 # --- embedding ---
 
@@ -505,6 +560,31 @@ knn_threshold = _knn("embeddings", 10, 0.6)
 knn_self = """
 SELECT vec_id AS query_id, vec_id AS id, 1::BIGINT AS rank, 0.0::DOUBLE AS distance
 FROM embeddings"""
+
+
+def _among(pairs: str, k: int) -> str:
+    """The k nearest of pairs (q, r) of ids."""
+    return f"""
+SELECT q.vec_id AS query_id, r.vec_id AS id, {_rounded(_DISTANCE)} AS distance,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCE}, r.vec_id) AS rank
+FROM {pairs} p JOIN embeddings q ON p.q = q.vec_id JOIN embeddings r ON p.r = r.vec_id
+QUALIFY rank <= {k}"""
+
+
+knn_lsh = f"""
+WITH s AS (SELECT t, b, list(CASE WHEN md5(t || ':' || b || ':' || i)[1] < '8' THEN 1.0 ELSE -1.0 END::DOUBLE
+                             ORDER BY i) AS s
+           FROM range(6) x(t), range(6) y(b), range(64) z(i) GROUP BY t, b),
+c AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], s) >= 0 THEN 1 << b ELSE 0 END) AS c
+      FROM embeddings, s GROUP BY vec_id, t),
+p AS (SELECT DISTINCT a.vec_id AS q, b.vec_id AS r FROM c a JOIN c b USING (t, c))
+{_among('p', 5)}"""
+knn_clusters = f"""
+WITH n AS (SELECT e.vec_id, c.vec_id AS cell, row_number() OVER (PARTITION BY e.vec_id
+             ORDER BY list_cosine_distance(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.vec_id) AS nth
+           FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 16) c),
+p AS (SELECT a.vec_id AS q, b.vec_id AS r FROM n a JOIN n b USING (cell) WHERE a.nth <= 4 AND b.nth = 1)
+{_among('p', 5)}"""
 knn_unembedded = f"""
 WITH r AS (SELECT vec_id, CASE WHEN embedding[1] > 0.33::DOUBLE THEN embedding END AS embedding
            FROM embeddings),
@@ -550,6 +630,32 @@ _STORED = "nullif(source, 'src3') AS repo_url, sha256(text) AS digest"
 _N = "(SELECT count(*) FROM documents)"
 
 index_rows = f"SELECT doc_id + 1 AS id, {_STORED} FROM documents"
+of_repo = f"SELECT doc_id + 1 AS id, {_STORED} FROM documents WHERE source = 'src0'"
+drop_table = "SELECT count(*) AS n_rows, true AS there, false AS other_there FROM documents"
+ingest_one = f"""
+SELECT doc_id + 1 AS id, {_STORED}, false AS added FROM documents
+UNION ALL
+SELECT {_N} + 1, NULL, sha256(text), true
+FROM (SELECT text FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1)"""
+audit_stamps = """
+SELECT nullif(source, 'src3') AS repo_url, true AS old, source IN ('src1', 'src2') AS renewed, count(*) AS n
+FROM documents GROUP BY source"""
+empty_input = f"""
+WITH {_FILES}
+SELECT repo_url, count(*) AS total_files, count(*) FILTER (rel NOT LIKE '%.png') AS skipped_large,
+       0::BIGINT AS total_chunks, true AS refused, true AS nothing_stored
+FROM files GROUP BY repo_url"""
+embed_fallback = """
+SELECT doc_id, NOT starts_with(text, 'T') AS embedded,
+       CASE WHEN starts_with(text, 'T') THEN 'ValueError: no T' END AS error
+FROM documents"""
+scan_failures = """
+SELECT 'https://github.com/o/' || source AS repo_url,
+       CASE source WHEN 'src1' THEN 1 ELSE count(*) END AS total_files,
+       (source = 'src1')::BIGINT AS failed_files, source <> 'src1' AS stored,
+       CASE source WHEN 'src1' THEN '.' END AS path,
+       CASE source WHEN 'src1' THEN 'FileNotFoundError: No such file or directory' END AS error
+FROM documents GROUP BY source"""
 assigned_ids = """
 SELECT doc_id, CASE WHEN lang = 'fr' THEN doc_id + 1000000
   ELSE (SELECT coalesce(max(doc_id) + 1000000, 0) FROM documents WHERE lang = 'fr')

@@ -21,6 +21,7 @@ from repoquarry.session import explode_all, scratch_path
 from repoquarry.sources import repo_files
 from repoquarry.sources.documents import as_documents
 from repoquarry.sources.index_table import IndexTable
+from repoquarry.sources.storage import path_exists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,6 +243,13 @@ def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _exploded(table(spark, sf, "documents"), chunks, "doc_id")
 
 
+@query(oracle.notebook_chunks)
+def notebook_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    books = derived.notebooks(table(spark, sf, "documents"))
+    read = books.select("doc_id", text.notebook_text(F.encode("json", "utf-8")).alias("text"))
+    return _exploded(read, chunk.cell_chunks(F.col("text"), 1024), "doc_id")
+
+
 @query(oracle.struct_chunks)
 def struct_chunks(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunk.declaration_chunks(F.col("text"), "python", 1024, 3)
@@ -277,7 +285,8 @@ def group_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.group_line_chunks)
 def group_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return group.group_line_windows(repo_texts(spark, sf), 40, 15)
+    windows = group.group_line_windows(repo_texts(spark, sf), 40, 15)
+    return windows.withColumn("file_paths", F.array_join("file_paths", "|"))
 
 
 @query(oracle.group_file_paths)
@@ -287,8 +296,8 @@ def group_file_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.group_path_lists)
 def group_path_lists(spark: SparkSession, sf: str) -> DataFrame:
-    lists = group.inline_group_files(group.group_files(repo_texts(spark, sf)), 100_000)
-    return lists.select("repo_url", "label", F.array_join("file_paths", "|").alias("file_paths"))
+    lists = group.path_pages(group.group_files(repo_texts(spark, sf)), 100)
+    return lists.withColumn("file_paths", F.array_join("file_paths", "|"))
 
 
 @query(oracle.chunk_counts_by_group)
@@ -374,9 +383,9 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.group_scope_chunks)
 def group_scope_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Group scope over files of line languages, where a chunk names its group."""
+    """Group scope over files of line languages: a chunk names the files in its window."""
     files = derived.files_in_table(spark, sf, suffix=".js")
-    chunks = jobs.build_chunks(files, IndexParams(scope="group", inline_paths=100_000)).chunks
+    chunks = jobs.build_chunks(files, IndexParams(scope="group")).chunks
     return chunks.select(
         "repo_url",
         "content",
@@ -486,7 +495,7 @@ def knn_unembedded(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(search.nearest(some, queries, k=10, keep_unembedded=True))
 
 
-@query()
+@query(oracle.knn_lsh)
 def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     rows, queries = _vectors(spark, sf)
     path = scratch_path(spark, "lsh")
@@ -511,11 +520,13 @@ def knn_cluster_self(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(approx.search_clusters(spark, path, queries, k=1, probes=1))
 
 
-@query()
+@query(oracle.knn_clusters)
 def knn_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Around given centres, so that SQL can repeat the choice of cells."""
     rows, queries = _vectors(spark, sf)
     path = scratch_path(spark, "clusters")
-    approx.build_clusters(rows, path, cells=16)
+    centres = rows.where("id < 16").select(F.col("id").alias("cell"), F.col("embedding").alias("centre"))
+    approx.build_clusters(rows, path, centres=centres)
     return _shown(approx.search_clusters(spark, path, queries, k=5, probes=4))
 
 
@@ -528,6 +539,17 @@ def knn_all_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(approx.search_clusters(spark, path, queries, k=5, probes=8))
 
 
+@query(oracle.knn_self)
+def dropped_derived(spark: SparkSession, sf: str) -> DataFrame:
+    """A derived table goes; the rows it came from still answer."""
+    rows, queries = _vectors(spark, sf)
+    path = scratch_path(spark, "lsh")
+    approx.build_lsh(rows, path, tables=1)
+    approx.drop_derived(spark, path)
+    gone = not path_exists(spark, path)
+    return _shown(search.nearest(rows.where(F.lit(gone)), queries, k=1))
+
+
 @query(oracle.render_results)
 def render_results(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of every vector among the labelled ones, the rest having none."""
@@ -637,6 +659,126 @@ def delete_repo(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(index).withColumn("deleted", F.lit(deleted).cast("bigint"))
 
 
+@query(oracle.of_repo)
+def of_repo(spark: SparkSession, sf: str) -> DataFrame:
+    index, _ = _index(spark, sf)
+    rows = index.of_repo("src0")
+    return rows.select("id", "repo_url", F.sha2("content", 256).alias("digest"))
+
+
+@query(oracle.index_rows)
+def compacted_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs of half the documents each, then one run, and nothing else kept."""
+    index = IndexTable.create(spark, scratch_path(spark, "index"), _DIM, 8)
+    docs = table(spark, sf, "documents").select(
+        F.nullif("source", F.lit("src3")).alias("repo_url"),
+        F.col("text").alias("content"),
+        (F.col("doc_id") + 1).alias("id"),
+    )
+    jobs.ingest(index, docs.where("id % 2 = 0"))
+    jobs.ingest(index, docs.where("id % 2 = 1"))
+    index.compact()
+    index.vacuum(0)
+    assert len(index.manifest().runs) == 1
+    return _rows(index)
+
+
+@query(oracle.drop_table)
+def drop_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two indexes one is dropped."""
+    index, _ = _index(spark, sf)
+    other = IndexTable.create(spark, scratch_path(spark, "index"), _DIM, 8)
+    rows = _rows(index).agg(F.count("*").alias("n_rows")).withColumn("there", F.lit(index.exists()))
+    other.drop()
+    return rows.withColumn("other_there", F.lit(other.exists()))
+
+
+@query(oracle.ingest_one)
+def ingest_one(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest text joins all others as a document of its own."""
+    index, docs = _index(spark, sf)
+    longest = docs.orderBy(F.length("content").desc(), "seq").first()
+    number = jobs.ingest_one(index, longest.content)
+    return _rows(index).withColumn("added", F.col("id") == number)
+
+
+@query(oracle.audit_stamps)
+def audit_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Replaced rows keep their repository's first stamp and get a new second one."""
+    index, docs = _index(spark, sf)
+    jobs.ingest(index, docs.where(F.col("repo_url").isin("src1", "src2")), clear_existing=True)
+    rows = index.read()
+    first = rows.agg(F.min("created_at").alias("first"))
+    return rows.join(F.broadcast(first)).select(
+        "repo_url",
+        (F.col("created_at") == F.col("first")).alias("old"),
+        (F.col("updated_at") > F.col("created_at")).alias("renewed"),
+    ).groupBy("repo_url", "old", "renewed").agg(F.count("*").alias("n"))
+
+
+@query(oracle.empty_input)
+def empty_input(spark: SparkSession, sf: str) -> DataFrame:
+    """A job without documents is refused, one over empty repositories is not."""
+    index = IndexTable.create(spark, scratch_path(spark, "index"), _DIM, 8)
+    docs = table(spark, sf, "documents").select(F.col("text").alias("content"))
+    try:
+        jobs.ingest(index, docs.where("content IS NULL"))
+        refused = False
+    except jobs.NoDocuments:
+        refused = True
+    files = derived.files_in_table(spark, sf).withColumn("size", F.lit(1 << 40))
+    chunked, done = jobs.index_files(index, files, IndexParams(dim=_DIM))
+    return chunked.summary.select(
+        "repo_url", "total_files", "skipped_large", "total_chunks",
+        F.lit(refused).alias("refused"), F.lit(done is None).alias("nothing_stored"),
+    )
+
+
+class _Picky(embed.HashEmbedder):
+    """Refuses texts that start with a T, and so every request that has one."""
+
+    def embed(self, texts: list[str]):
+        if any(t.startswith("T") for t in texts):
+            raise ValueError("no T")
+        return super().embed(texts)
+
+
+@query(oracle.embed_fallback)
+def embed_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """A request that fails is repeated text by text; only texts that fail alone are refused."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    done = embed.embed_column(docs, "text", _Picky(_DIM), 5, "quarantine")
+    return done.select(
+        "doc_id", F.col("embedding").isNotNull().alias("embedded"), F.col("embed_error").alias("error")
+    )
+
+
+@query(oracle.stored_group_files)
+def stored_group_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of every group, as the index publishes them."""
+    index = IndexTable.create(spark, scratch_path(spark, "index"), _DIM, 8)
+    jobs.index_files(index, derived.files_in_table(spark, sf), IndexParams(dim=_DIM, scope="group"))
+    return index.group_files()
+
+
+@query(oracle.scan_failures)
+def scan_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """One of the snapshots has no folder: it is named, and the others are indexed."""
+    snapshots = derived.write_snapshots(spark, sf)
+    broken = F.col("repo_url") == "https://github.com/o/src1"
+    snapshots = snapshots.withColumn("root", F.when(broken, F.concat("root", F.lit("-gone"))).otherwise(F.col("root")))
+    index = IndexTable.create(spark, scratch_path(spark, "index"), _DIM, 8)
+    done = jobs.index_repositories(index, snapshots, IndexParams(dim=_DIM))
+    stored = index.read().select("repo_url").distinct().withColumn("stored", F.lit(True))
+    failed = done.failures.select(F.col("repo_url").alias("r"), F.col("rel").alias("path"), "error")
+    return (
+        done.summary.select("repo_url", "total_files", "failed_files")
+        .join(stored, "repo_url", "left")
+        .join(failed, F.col("repo_url") == F.col("r"), "left")
+        .select("repo_url", "total_files", "failed_files", F.coalesce("stored", F.lit(False)).alias("stored"), "path", "error")
+    )
+
+
 @query(oracle.replace_repo)
 def replace_repo(spark: SparkSession, sf: str) -> DataFrame:
     index, docs = _index(spark, sf)

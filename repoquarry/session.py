@@ -91,6 +91,15 @@ def task_count(spark: SparkSession) -> int:
     )
 
 
+TASK_BYTES = 256 << 20
+
+
+def tasks_for(spark: SparkSession, units: int, size: int) -> int:
+    """Tasks for `units` pieces of work on `size` bytes: all slots if there are pieces for
+    them, and more where a task would otherwise have more than TASK_BYTES."""
+    return max(1, min(task_count(spark), units), -(-size // TASK_BYTES))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every slot a share of a small table before costly work on its rows.
 

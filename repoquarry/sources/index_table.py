@@ -1,17 +1,20 @@
 """The index: a Parquet table with a small list of what is live in it.
 
     <path>/data/run=<run>/repo_bucket=<b>/*.parquet    written once, never changed
-    <path>/manifest/v=<n>                              the runs that count
+    <path>/group_files/run=<run>/*.parquet             files of the groups chunks name
+    <path>/manifest/v=<n>                              the runs that count, one file a version
 
 A job writes a run, checks it, and then publishes the next manifest: readers see all
 of a job or nothing of it, and a failed job leaves the index as it was. Replacing or
 deleting a repository rewrites only the buckets it is in; the manifest then names
-those buckets as dead in the older runs.
+those buckets as dead in the older runs. `compact` joins the live rows of all runs in
+one; `vacuum` deletes what no longer counts.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 
 from repoquarry.functions.paths import repo_bucket
 from repoquarry.schemas import INDEX_SCHEMA
-from repoquarry.sources.storage import delete_path, path_exists
+from repoquarry.session import tasks_for
+from repoquarry.sources.storage import create_file, delete_path, entries, path_exists, read_file
 
 _STORED = T.StructType(
     [
@@ -45,6 +49,7 @@ class Manifest:
     max_id: int = 0
     runs: dict[str, list[int]] = field(default_factory=dict)  # run -> its dead buckets
     streams: dict[str, int] = field(default_factory=dict)  # stream -> last batch stored
+    group_runs: list[str] = field(default_factory=list)  # runs of group files, oldest first
 
     def next(self, **changes) -> Manifest:
         return Manifest(**{**self.__dict__, **changes, "version": self.version + 1})
@@ -73,14 +78,27 @@ class IndexTable:
         return path_exists(self.spark, f"{self.path}/manifest")
 
     def manifest(self) -> Manifest:
-        versions = self.spark.read.schema("value string, v int").text(f"{self.path}/manifest")
-        return Manifest(**json.loads(versions.orderBy(F.desc("v")).first().value))
+        """The newest version that is whole; one being written does not count yet."""
+        for version in self._versions()[-1:-3:-1]:
+            try:
+                return Manifest(**json.loads(read_file(self.spark, self._version_path(version))))
+            except json.JSONDecodeError:
+                continue
+        raise ValueError(f"there is no index at {self.path}")
+
+    def _version_path(self, version: int) -> str:
+        return f"{self.path}/manifest/v={version}"
+
+    def _versions(self) -> list[int]:
+        names = [name for name, _ in entries(self.spark, f"{self.path}/manifest")]
+        return sorted(int(name[2:]) for name in names if name.startswith("v="))
 
     def _publish(self, manifest: Manifest) -> None:
-        """Writing a version that is there already fails, so of two jobs that
+        """Creating a version that is there already fails, so of two jobs that
         started from the same state the second does not undo the first."""
-        line = self.spark.createDataFrame([(json.dumps(manifest.__dict__),)], "value string")
-        line.coalesce(1).write.mode("error").text(f"{self.path}/manifest/v={manifest.version}")
+        create_file(
+            self.spark, self._version_path(manifest.version), json.dumps(manifest.__dict__)
+        )
 
     # --- reading ---
 
@@ -89,11 +107,15 @@ class IndexTable:
         manifest = manifest or self.manifest()
         if not manifest.runs:
             return self.spark.createDataFrame([], _STORED).drop("run")
+        # One condition for all runs that lost the same buckets.
+        same: dict[tuple[int, ...], list[str]] = {}
+        for run, dead in manifest.runs.items():
+            same.setdefault(tuple(dead), []).append(run)
         live = reduce(
             or_,
             [
-                (F.col("run") == run) & ~F.col("repo_bucket").isin([REFUSED, *dead])
-                for run, dead in manifest.runs.items()
+                F.col("run").isin(runs) & ~F.col("repo_bucket").isin([REFUSED, *dead])
+                for dead, runs in same.items()
             ],
         )
         data = f"{self.path}/data"
@@ -182,6 +204,7 @@ class IndexTable:
         max_id: int,
         dead: list[int] = (),
         batch: tuple[str, int] | None = None,
+        group_run: str | None = None,
     ) -> None:
         """Make runs count, and the buckets they rewrote dead in the older ones."""
         runs = {
@@ -194,9 +217,61 @@ class IndexTable:
                 runs={**runs, **{run: [] for run in new}},
                 max_id=max(max_id, manifest.max_id),
                 streams={**manifest.streams, **dict([batch] if batch else [])},
+                group_runs=[*manifest.group_runs, *([group_run] if group_run else [])],
             )
         )
 
+    def write_members(self, members: DataFrame) -> str:
+        """Write (repo_url, label, rel, position, files) as a run that does not count yet."""
+        run = uuid.uuid4().hex
+        members.write.parquet(f"{self.path}/group_files/run={run}")
+        return run
+
+    def group_files(self) -> DataFrame:
+        """Every path of the groups that chunks in group scope name, for the repositories
+        in the index: those of the last job that brought a repository."""
+        manifest = self.manifest()
+        schema = "repo_url string, label string, rel string, position bigint, files bigint"
+        if not manifest.group_runs:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.path}/group_files"
+        paths = [f"{base}/run={run}" for run in manifest.group_runs]
+        order = F.array_position(F.array(*[F.lit(r) for r in manifest.group_runs]), F.col("run"))
+        rows = self.spark.read.schema(f"{schema}, run string").option("basePath", base)
+        rows = rows.parquet(*paths).withColumn("_job", order)
+        last = rows.groupBy("repo_url").agg(F.max("_job").alias("_job"))
+        present = self.read(manifest).select("repo_url").distinct()
+        last = last.join(present, "repo_url", "left_semi")
+        return rows.join(last, ["repo_url", "_job"]).drop("_job", "run")
+
+    def compact(self) -> None:
+        """Join the live rows of all runs in one run."""
+        manifest = self.manifest()
+        rows = self.read(manifest)
+        count, size = rows.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("content") + 4 * manifest.dim), F.lit(0))
+        ).first()
+        tasks = tasks_for(self.spark, -(-count // 1000), size)
+        run = self.write_run(self.laid_out(rows.drop("repo_bucket"), manifest.buckets, tasks))
+        if self.read_run(run).count() != count:
+            self.discard_run(run)
+            raise RuntimeError("a compacted run lost rows")
+        self._publish(manifest.next(runs={run: []}))
+
+    def vacuum(self, older_than_hours: float = 24) -> int:
+        """Delete runs and versions that do not count and are older than that, which is to
+        be longer than any job or read takes; returns how many."""
+        manifest = self.manifest()
+        limit = (time.time() - 3600 * older_than_hours) * 1000
+        kept = {f"run={run}" for run in (*manifest.runs, *manifest.group_runs)}
+        kept |= {f"v={manifest.version}"}
+        gone = 0
+        for folder in ("data", "group_files", "manifest"):
+            for name, changed in entries(self.spark, f"{self.path}/{folder}"):
+                if name not in kept and changed <= limit:
+                    gone += delete_path(self.spark, f"{self.path}/{folder}/{name}")
+        return gone
+
     def buckets_of(self, repos: DataFrame, buckets: int) -> list[int]:
         """Buckets of some repositories: at most as many as the table has."""
         found = repos.select(repo_bucket(F.col("repo_url"), buckets).alias("b")).distinct()

@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.params import IGNORED_NAMES
-from repoquarry.session import materialise, task_count
+from repoquarry.session import materialise, tasks_for
 
-_LISTED = "repo_url string, commit string, root string, rel string, size bigint, folder boolean"
+_LISTED = (
+    "repo_url string, commit string, root string, rel string, size bigint, error string,"
+    " folder boolean"
+)
 _LIST_ROWS = 10_000
 _READ_ROWS = 256
 _FILES_PER_TASK = 64  # at least, while there are fewer files than all slots could read
+_FOLDERS_PER_TASK = 1000  # at most
 
 
 def _shown(path: str) -> str:
@@ -32,23 +36,33 @@ def _shown(path: str) -> str:
     return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def _scan(folder: str) -> Iterator[os.DirEntry]:
-    """Entries of a folder one by one; what cannot be listed ends it early."""
+def _error(exc: OSError) -> str:
+    return f"{type(exc).__name__}: {exc.strerror}"
+
+
+def _scan(folder: str) -> Iterator[os.DirEntry | OSError]:
+    """Entries of a folder one by one; the error, last, if it cannot be listed to its end."""
     try:
         with os.scandir(folder) as entries:
             yield from entries
-    except OSError:
-        return
+    except OSError as exc:
+        yield exc
 
 
-def _entries(root: str, rel: str, deep: bool) -> Iterator[tuple[str, int | None, bool]]:
+def _entries(
+    root: str, rel: str, deep: bool
+) -> Iterator[tuple[str, int | None, str | None, bool]]:
     """Regular files below a folder, hidden ones included; links to folders are not
     followed. Folders whose name is ignored are not entered. Unless `deep`,
-    subfolders are returned for another task instead of being entered."""
+    subfolders are returned for another task instead of being entered. What cannot be
+    listed is an entry with an error; the root is then shown as a dot."""
     pending = [rel]
     while pending:
         folder = pending.pop()
         for entry in _scan(os.path.join(root, folder)):
+            if isinstance(entry, OSError):
+                yield _shown(folder) or ".", None, _error(entry), False
+                continue
             path = f"{folder}/{entry.name}" if folder else entry.name
             try:
                 if entry.is_dir(follow_symlinks=False):
@@ -57,13 +71,16 @@ def _entries(root: str, rel: str, deep: bool) -> Iterator[tuple[str, int | None,
                     if deep or _shown(path) != path:
                         pending.append(path)
                     else:
-                        yield path, None, True
+                        yield path, None, None, True
                     continue
                 found = entry.stat()
-            except OSError:
+            except FileNotFoundError:
+                continue  # a link to nothing, or gone since
+            except OSError as exc:
+                yield _shown(path), None, _error(exc), False
                 continue
             if stat.S_ISREG(found.st_mode):
-                yield _shown(path), found.st_size, False
+                yield _shown(path), found.st_size, None, False
 
 
 def _lister(deep: bool):
@@ -71,7 +88,7 @@ def _lister(deep: bool):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 for found in batched(_entries(row.root, row.rel, deep), _LIST_ROWS):
-                    rel, size, folder = zip(*found, strict=True)
+                    rel, size, error, folder = zip(*found, strict=True)
                     yield pd.DataFrame(
                         {
                             "repo_url": row.repo_url,
@@ -79,6 +96,7 @@ def _lister(deep: bool):
                             "root": row.root,
                             "rel": pd.Series(rel, dtype=object),
                             "size": pd.Series(size, dtype="Int64"),
+                            "error": pd.Series(error, dtype=object),
                             "folder": pd.Series(folder, dtype=bool),
                         }
                     )
@@ -87,13 +105,14 @@ def _lister(deep: bool):
 
 
 def list_files(manifest: DataFrame, split_levels: int = 2) -> DataFrame:
-    """Files of every snapshot: (repo_url, commit, root, rel, size).
+    """Files of every snapshot: (repo_url, commit, root, rel, size, error). A folder, root
+    or file that cannot be listed is a row with an error and no size.
 
     The upper `split_levels` folder levels are listed one level at a time, so that
     the folders below them become tasks of their own. Each level is written, and so
     is listed once.
     """
-    slots = task_count(manifest.sparkSession)
+    spark = manifest.sparkSession
     folders = manifest.select("repo_url", "commit", "root", F.lit("").alias("rel"))
     files = manifest.sparkSession.createDataFrame([], _LISTED).drop("folder")
     for level in range(split_levels + 1):
@@ -101,7 +120,8 @@ def list_files(manifest: DataFrame, split_levels: int = 2) -> DataFrame:
         if not count:
             break
         # Names are small and listing is slow: the number of tasks goes by folders.
-        spread = folders.repartition(min(slots, count), "root", "rel")
+        tasks = max(tasks_for(spark, count, 0), -(-count // _FOLDERS_PER_TASK))
+        spread = folders.repartition(tasks, "root", "rel")
         found = materialise(
             spread.mapInPandas(_lister(deep=level == split_levels), _LISTED), "listing"
         )
@@ -124,8 +144,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     errors.append(None)
                 except OSError as exc:
                     contents.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc.strerror}")
-            yield part.drop(columns="root").assign(content=contents, error=errors)
+                    errors.append(_error(exc))
+            yield part.drop(columns=["root", "error"], errors="ignore").assign(
+                content=contents, error=errors
+            )
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -133,9 +155,9 @@ def read_files(files: DataFrame) -> DataFrame:
 
     Files are spread evenly by path, so one large repository is read by all tasks.
     """
-    slots = task_count(files.sparkSession)
-    tasks = max(1, min(slots, files.count() // _FILES_PER_TASK))
-    kept = [f for f in files.schema.fields if f.name != "root"]
+    count, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = tasks_for(files.sparkSession, count // _FILES_PER_TASK, size)
+    kept = [f for f in files.schema.fields if f.name not in ("root", "error")]
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     spread = files.repartition(tasks, "repo_url", "rel")
     return spread.mapInPandas(_read, f"{columns}, content binary, error string")

@@ -11,6 +11,9 @@ from repoquarry.plans.jobs import ingest
 from repoquarry.sources.index_table import IndexTable
 
 
+MAX_RUNS = 32  # a batch is a run; more than these are joined in one
+
+
 def ingest_stream(
     table: IndexTable,
     docs: DataFrame,
@@ -26,7 +29,8 @@ def ingest_stream(
     The index records the last batch of each stream together with its rows, so a
     batch that is delivered again after a failure is stored once. With
     `clear_existing` the repositories of a batch replace what the index had of them,
-    so a snapshot of a repository has to arrive within one batch.
+    so a snapshot of a repository has to arrive within one batch. Many small batches are
+    compacted now and then, so that reading the index does not slow down.
     """
 
     def store(batch: DataFrame, number: int) -> None:
@@ -40,6 +44,8 @@ def ingest_stream(
             clear_existing=clear_existing,
             batch=(name, number),
         )
+        if len(table.manifest().runs) > MAX_RUNS:
+            table.compact()
 
     return (
         docs.writeStream.queryName(name)

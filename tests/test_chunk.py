@@ -107,6 +107,31 @@ def test_token_windows_keep_their_budget(spark, size, overlap):
             assert "".join(got) == text
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(1024, 64), (64, 0), (100, 30), (200, 100)])
+def test_token_windows_are_filled(spark, size, overlap):
+    """No chunk could have taken the next piece, and none shares more than the overlap."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "bc, d", "e\n", "f.g"]) for _ in range(rng.choice([3, 80, 2500]))) for _ in range(12)]
+    piece = min(64, overlap or 64, size - overlap)
+    for text, got in zip(texts, chunks_of(spark, texts, lambda t: chunk.token_windows(t, size, overlap))):
+        pieces, n = python_pieces(text, piece), lambda p: len(TOKEN.findall(p))
+        want, start = [], 0
+        while True:
+            end = start + 1
+            while end < len(pieces) and n("".join(pieces[start : end + 1])) <= size:
+                end += 1
+            want.append("".join(pieces[start:end]))
+            if end == len(pieces):
+                break
+            start = next(j for j in range(start + 1, end + 1) if n("".join(pieces[j:end])) <= overlap)
+        assert got == want
+
+
+def test_unbroken_runs_are_cut(spark):
+    [got] = chunks_of(spark, ["x" * 50_000], lambda t: chunk.token_windows(t, 100, 10))
+    assert "".join(got) == "x" * 50_000 and max(map(len, got)) == 1600
+
+
 def some_code(seed):
     rng = random.Random(seed)
     out = []

@@ -142,7 +142,7 @@ def test_one_repository_for_all_documents(spark, table):
 
 def test_quarantine(spark, table):
     rows = [("a", "good"), ("a", ""), ("a", " \n"), ("a", None), ("a", "poison")]
-    done = jobs.ingest(table, docs(spark, rows), Flaky(DIM))
+    done = jobs.ingest(table, docs(spark, rows), Flaky(DIM), IndexParams(on_error="quarantine"))
     assert contents(table) == [("a", "good")] and done.stored == 1
     assert {(r.seq, r.error) for r in done.quarantine.collect()} == {
         (1, "content is missing"),
@@ -168,6 +168,49 @@ def test_failed_ingest_changes_nothing(spark, table, bad):
     assert contents(table) == before and table.manifest().version == version
 
 
+@pytest.mark.parametrize("on_error", ["fail", "quarantine"])
+def test_an_outage_keeps_the_old_rows(spark, table, on_error):
+    class Down(HashEmbedder):
+        def embed(self, texts):
+            raise OSError("no service")
+
+    jobs.ingest(table, docs(spark, ROWS))
+    before = contents(table)
+    with pytest.raises(Exception):
+        jobs.ingest(table, docs(spark, ROWS), Down(DIM), IndexParams(on_error=on_error), clear_existing=True)
+    assert contents(table) == before
+
+
+def test_one_refused_text_keeps_its_repository(spark, table):
+    jobs.ingest(table, docs(spark, ROWS))
+    before, some = contents(table), IndexParams(on_error="quarantine")
+    for bad in ("poison", "", " "):
+        with pytest.raises(jobs.NotReplaced):
+            jobs.ingest(table, docs(spark, [("a", "new"), ("a", bad)]), Flaky(DIM), some, clear_existing=True)
+    assert contents(table) == before
+    # A repository that had no rows loses none.
+    jobs.ingest(table, docs(spark, [("a", "new"), ("c", "poison")]), Flaky(DIM), some, clear_existing=True)
+    assert ("a", "new") in contents(table) and ("a", "one") not in contents(table)
+
+
+def test_compaction_and_vacuum(spark, table):
+    jobs.ingest(table, docs(spark, ROWS))
+    jobs.ingest(table, docs(spark, [("a", "six")]), clear_existing=True)
+    table.delete_repo("b")
+    rows = sorted((r.id, r.repo_url or "", r.content, r.created_at) for r in table.read().collect())
+    table.compact()
+    assert len(table.manifest().runs) == 1 and table.vacuum(1) == 0
+    assert table.vacuum(0) > 3 and table.vacuum(0) == 0
+    assert sorted((r.id, r.repo_url or "", r.content, r.created_at) for r in table.read().collect()) == rows
+    assert jobs.ingest_one(table, "next") > max(r[0] for r in rows)
+
+
+def test_equal_numbers_are_refused(spark, table):
+    rows = spark.createDataFrame([("a", "x", 0), ("a", "y", 0)], SCHEMA)
+    with pytest.raises(ValueError, match="more than once"):
+        jobs.ingest(table, rows, dense_seq=True)
+
+
 def test_nothing_to_ingest(spark, table):
     with pytest.raises(ValueError, match="no documents"):
         jobs.ingest(table, docs(spark, []).limit(0))
@@ -186,7 +229,7 @@ def test_single_document_and_foreign_meta(spark, table):
 def test_concurrent_publish_is_refused(spark, table):
     stale = table.manifest()
     jobs.ingest(table, docs(spark, ROWS))
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(Exception, match="exist"):
         table.publish_runs(["other"], stale, 0)
     assert len(contents(table)) == 5
 
@@ -197,7 +240,7 @@ def test_wrong_dimension(spark, table):
 
 
 def test_create_open_drop(spark, table):
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(Exception, match="exist"):
         IndexTable.create(spark, table.path, DIM, 4)
     assert IndexTable.open(spark, table.path, 99, 9).manifest().dim == DIM
     assert table.read().count() == 0 and not table.repo_exists("a")
@@ -235,3 +278,14 @@ def test_stream_stores_each_batch_once(spark, table, tmp_path):
     # A checkpoint lost after the rows were stored delivers its batches again.
     run("two")
     assert contents(table) == [("a", "one"), ("b", "two"), ("c", "three")]
+
+
+def test_many_batches_are_few_runs(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr("repoquarry.streaming.incremental.MAX_RUNS", 3)
+    source = str(tmp_path / "in")
+    for i in range(8):
+        docs(spark, [(f"r{i}", f"text {i}")]).drop("seq").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("repo_url string, content string").option("maxFilesPerTrigger", 1).parquet(source)
+    ingest_stream(table, stream, "s", str(tmp_path / "c")).awaitTermination()
+    assert contents(table) == [(f"r{i}", f"text {i}") for i in range(8)]
+    assert len(table.manifest().runs) <= 4

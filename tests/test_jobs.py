@@ -11,6 +11,7 @@ from repoquarry.params import IndexParams
 from repoquarry.plans import jobs
 from repoquarry.session import scratch_path
 from repoquarry.sources.index_table import IndexTable
+from repoquarry.sources import repo_files
 from repoquarry.sources.repo_files import list_files, read_files
 
 URL = "https://github.com/o/"
@@ -164,18 +165,68 @@ def test_nothing_to_index(spark, tmp_path):
 
 def test_group_scope(spark, snapshots):
     files = read_files(list_files(manifest(spark, snapshots)).where("size <= 51200"))
-    params = IndexParams(scope="group", inline_paths=3)
+    params = IndexParams(scope="group")
     done = jobs.build_chunks(files, params)
     rows = done.chunks.collect()
     go = [r for r in rows if r.meta.language == "go" and r.repo_url == f"{URL}two"]
     assert [r.content.split("\n")[0] for r in sorted(go, key=lambda r: r.ordinal)] == ["0", "25", "50", "75"]
     assert all(r.meta.file_paths == ["main.go"] and r.meta.file_path is None for r in go)
     semantic = [r for r in rows if r.meta.language is None and r.repo_url == f"{URL}one"]
-    assert all(r.meta.file_paths is None for r in semantic)  # more than three files
+    assert all(len(r.meta.file_paths) == 1 for r in semantic)  # token chunks end with their file
     members = done.group_files.where("label = 'semantic'").where(f"repo_url = '{URL}one'")
     assert members.count() == members.first().files > 3
 
 
+def test_group_files_are_stored_with_the_rows(spark, snapshots):
+    table = IndexTable.create(spark, scratch_path(spark, "index"), 64, 4)
+    params = IndexParams(dim=64, scope="group")
+    jobs.index_repositories(table, manifest(spark, snapshots), params)
+    jobs.index_repositories(table, manifest(spark, snapshots, ["two"]), params)
+    rows = table.group_files().collect()
+    assert len(rows) == len({(r.repo_url, r.label, r.rel) for r in rows})
+    assert {r.rel for r in rows if r.repo_url == f"{URL}two"} == {"main.go", "same3.md"}
+    table.delete_repo(f"{URL}two")
+    assert {r.repo_url for r in table.group_files().collect()} == {f"{URL}one"}
+
+
+def test_a_repository_that_is_there_twice_is_refused(spark, snapshots):
+    table = IndexTable.create(spark, scratch_path(spark, "index"), 64, 4)
+    twice = manifest(spark, snapshots, ["one", "one", "two"])
+    done = jobs.index_repositories(table, twice, IndexParams(dim=64))
+    assert [r.repo_url for r in done.bad_urls.collect()] == [f"{URL}one"] * 2
+    assert {r.repo_url for r in table.read().collect()} == {f"{URL}two"}
+    files = read_files(list_files(manifest(spark, snapshots, ["two"])))
+    with pytest.raises(ValueError, match="more than once"):
+        jobs.build_chunks(files.union(files))
+
+
+def test_a_missing_root_keeps_the_old_rows(spark, snapshots):
+    table = IndexTable.create(spark, scratch_path(spark, "index"), 64, 4)
+    good = manifest(spark, snapshots)
+    jobs.index_repositories(table, good, IndexParams(dim=64))
+    before = sorted((r.repo_url, r.content) for r in table.read().collect())
+    gone = good.withColumn("root", F.when(F.col("repo_url").endswith("one"), F.lit("/nowhere")).otherwise(F.col("root")))
+    done = jobs.index_repositories(table, gone, IndexParams(dim=64))
+    assert sorted((r.repo_url, r.content) for r in table.read().collect()) == before
+    [failed] = done.failures.where(f"repo_url = '{URL}one'").collect()
+    assert failed.rel == "." and failed.error.startswith("FileNotFoundError")
+    assert {r.repo_url: r.failed_files for r in done.summary.collect()} == {f"{URL}one": 1, f"{URL}two": 0}
+
+
+def test_a_folder_that_cannot_be_listed_is_an_error(snapshots, monkeypatch):
+    real = os.scandir
+
+    def scandir(path):
+        if path.endswith("deep"):
+            raise PermissionError(13, "Permission denied", path)
+        return real(path)
+
+    monkeypatch.setattr(repo_files.os, "scandir", scandir)
+    found = {rel: (size, error) for rel, size, error, _ in repo_files._entries(str(snapshots / "one"), "", True)}
+    assert found["src/deep"] == (None, "PermissionError: Permission denied")
+    assert found["src/a.py"] == (24, None) and "src/deep/er/still/b.go" not in found
+
+
 def test_same_result_for_any_partitioning(spark, snapshots):
     files = read_files(list_files(manifest(spark, snapshots)).where("size <= 51200"))
     results = []

@@ -107,13 +107,26 @@ def test_group_lines_and_files(spark):
         assert [members[key][i] for i in range(len(own))] == [r[1] for r in own]
 
 
-def test_path_lists_beyond_the_limit_are_left_to_the_table(spark):
-    texts = spark.createDataFrame(repo_texts(3), TEXTS)
-    members = group.group_files(texts)
-    lists = {(r.repo_url, r.label): r.file_paths for r in group.inline_group_files(members, 5).collect()}
-    sizes = Counter((r.repo_url, r.label) for r in members.collect())
-    assert {k: len(v) for k, v in lists.items()} == {k: n for k, n in sizes.items() if n <= 5}
-    assert max(sizes.values()) > 5
+def test_path_lists_have_every_path(spark):
+    rows = repo_texts(3)
+    members = group.group_files(spark.createDataFrame(rows, TEXTS))
+    lists = defaultdict(list)
+    for r in sorted(group.path_pages(members, 5).collect(), key=lambda r: r.page):
+        assert len(r.file_paths) <= 5
+        lists[r.repo_url, r.label] += r.file_paths
+    want = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r[1]):
+        want[r[0], r[2] or "semantic"].append(r[1])
+    assert lists == want and max(map(len, want.values())) > 5
+
+
+def test_windows_name_the_files_they_have_lines_of(spark):
+    rows = repo_texts(5)
+    got = group.group_line_windows(spark.createDataFrame(rows, TEXTS), 6, 2).collect()
+    for r in got:
+        own = sorted((x for x in rows if (x[0], x[2] or "semantic") == (r.repo_url, r.label)), key=lambda x: x[1])
+        owner = [x[1] for x in own for _ in x[3].split("\n")]
+        assert r.file_paths == sorted(set(owner[r.window * 4 : r.window * 4 + 6]))
 
 
 def unit_rows(seed=4):
