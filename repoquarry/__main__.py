@@ -23,9 +23,10 @@ def _arguments() -> argparse.Namespace:
     index.add_argument("--keep-existing", action="store_true", help="append to old rows")
     for name in (
         "max_bytes", "batch_size", "chunk_lines", "chunk_lines_overlap", "max_chars",
-        "max_tokens", "token_overlap", "dim", "repo_buckets", "embed_partitions",
+        "max_tokens", "token_overlap", "declaration_overlap", "dim", "repo_buckets", "embed_partitions",
     ):
         index.add_argument(f"--{name.replace('_', '-')}", type=int, default=getattr(defaults, name))
+    index.add_argument("--expand-chunks", action="store_true", help="put path and declaration on chunks")
     index.add_argument("--scope", choices=("file", "group"), default=defaults.scope)
     index.add_argument("--on-error", choices=("fail", "quarantine"), default=defaults.on_error)
     find = jobs.add_parser("search")
@@ -34,6 +35,7 @@ def _arguments() -> argparse.Namespace:
     find.add_argument("output")
     find.add_argument("--k", type=int, default=2)
     find.add_argument("--max-distance", type=float)
+    find.add_argument("--approximate", action="store_true", help="compare hashed cells only")
     find.add_argument("--rendered", action="store_true", help="write Markdown, a row per query")
     return parser.parse_args()
 
@@ -53,7 +55,11 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> None:
         run = search_rendered if args.rendered else search
         queries = spark.read.parquet(args.queries)
         found = run(
-            IndexTable(spark, args.index), queries, k=args.k, max_distance=args.max_distance
+            IndexTable(spark, args.index),
+            queries,
+            k=args.k,
+            max_distance=args.max_distance,
+            approximate=args.approximate,
         )
         found.write.parquet(args.output)
         return

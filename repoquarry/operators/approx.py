@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ def _write_cells(rows: DataFrame, path: str) -> None:
         rows.withColumn("part", _part(F.col("cell")))
         .hint("rebalance", "part")
         .sortWithinPartitions("part", "cell", "id")
-        .write.partitionBy("part")
-        .parquet(f"{path}/cells")
+        .write.mode("overwrite")  # of what a failed job has left
+        .partitionBy("part")
+        .parquet(path)
     )
 
 
@@ -63,60 +65,79 @@ def drop_derived(spark: SparkSession, path: str) -> None:
 # --- random projections ------------------------------------------------------
 
 
-def signs(tables: int, bits: int, dim: int) -> np.ndarray:
-    """Directions of +1 and -1 for each table and bit, by a rule that any engine can
-    repeat: whether the first hexadecimal digit of md5('table:bit:place') is below 8."""
-    names = (f"{t}:{b}:{i}" for t in range(tables) for b in range(bits) for i in range(dim))
-    low = [hashlib.md5(name.encode()).hexdigest()[0] < "8" for name in names]
-    return np.where(low, 1.0, -1.0).reshape(tables * bits, dim)
-
-
-def _hash_cells(tables: int, bits: int, dim: int):
-    """Arrow UDF from a vector to its cells: in each table, the side of each of `bits`
-    planes it lies on, and the table's number."""
-    planes = signs(tables, bits, dim)
-    weights = 1 << np.arange(bits)
-
-    @F.arrow_udf("array<bigint>")
-    def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            sides = flat.reshape(-1, dim) @ planes.T >= 0
-            codes = sides.reshape(-1, tables, bits) @ weights * tables + np.arange(tables)
-            offsets = np.arange(len(batch) + 1, dtype=np.int32) * tables
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1).astype(np.int64)))
-
-    return cells.asNondeterministic()
-
-
-def build_lsh(corpus: DataFrame, path: str, tables: int = 6, bits: int = 6) -> None:
-    """Write the hashed table of `corpus(id, embedding)`: a row per table and vector. A
+@dataclass(frozen=True)
+class Planes:
+    """Tables of planes through the origin: a cell is the side of each plane of a table. A
     search reads about tables / 2 ** bits of the rows, the more the more alike they are."""
-    spark = corpus.sparkSession
-    known = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    first = known.select(F.size("embedding").alias("dim")).first()
-    setting = (tables, bits, first.dim if first else 1)
-    spark.createDataFrame([setting], "tables int, bits int, dim int").write.parquet(f"{path}/hash")
-    cells = _hash_cells(*setting)
-    hashed = known.withColumn("cells", cells("embedding"))
-    _write_cells(hashed.select("id", "embedding", F.explode("cells").alias("cell")), path)
 
-
-def search_lsh(
-    spark: SparkSession,
-    path: str,
+    dim: int
+    tables: int = 6
+    bits: int = 6
+
+    def directions(self) -> np.ndarray:
+        """+1 and -1 by a rule that any engine can repeat: whether the first hexadecimal
+        digit of md5('table:bit:place') is below 8."""
+        names = (
+            f"{t}:{b}:{i}"
+            for t in range(self.tables) for b in range(self.bits) for i in range(self.dim)
+        )
+        low = [hashlib.md5(name.encode()).hexdigest()[0] < "8" for name in names]
+        return np.where(low, 1.0, -1.0).reshape(self.tables * self.bits, self.dim)
+
+    def cells(self):
+        """Arrow UDF from a vector to its cells, one per table."""
+        planes, weights = self.directions(), 1 << np.arange(self.bits)
+        dim, tables, bits = self.dim, self.tables, self.bits
+
+        @F.arrow_udf("array<bigint>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                sides = flat.reshape(-1, dim) @ planes.T >= 0
+                codes = sides.reshape(-1, tables, bits) @ weights * tables + np.arange(tables)
+                offsets = np.arange(len(batch) + 1, dtype=np.int32) * tables
+                values = pa.array(codes.reshape(-1).astype(np.int64))
+                yield pa.ListArray.from_arrays(pa.array(offsets), values)
+
+        return run.asNondeterministic()  # so that it runs once for all cells made of it
+
+
+def write_hashed(rows: DataFrame, path: str, planes: Planes) -> None:
+    """Write `rows(id, embedding[, repo_bucket])` a row per table and vector."""
+    known = rows.where(F.col("embedding").isNotNull())
+    own = [c for c in ("id", "embedding", "repo_bucket") if c in rows.columns]
+    hashed = known.select(*own, planes.cells()("embedding").alias("cells"))
+    _write_cells(hashed.select(*own, F.explode("cells").alias("cell")), path)
+
+
+def search_hashed(
+    cells: DataFrame,
     queries: DataFrame,
+    planes: Planes,
     k: int = 2,
     max_distance: float | None = None,
     block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
-    """Approximate `nearest` over a table written by `build_lsh`."""
-    setting = spark.read.parquet(f"{path}/hash").first()
-    cells = _hash_cells(setting.tables, setting.bits, setting.dim)
-    hashed = queries.where(F.col("embedding").isNotNull()).withColumn("cells", cells("embedding"))
-    return _search_cells(
-        spark.read.parquet(f"{path}/cells"), hashed, k, max_distance, block_bytes
-    )
+    """Approximate `nearest` over what `write_hashed` has written."""
+    known = queries.where(F.col("embedding").isNotNull())
+    asked = known.select("query_id", "embedding", planes.cells()("embedding").alias("cells"))
+    return _search_cells(cells, asked, k, max_distance, block_bytes)
+
+
+def build_lsh(corpus: DataFrame, path: str, tables: int = 6, bits: int = 6) -> None:
+    """Write the hashed table of `corpus(id, embedding)` and its setting."""
+    known = corpus.where(F.col("embedding").isNotNull())
+    first = known.select(F.size("embedding").alias("dim")).first()
+    setting = (first.dim if first else 1, tables, bits)
+    spark = corpus.sparkSession
+    spark.createDataFrame([setting], "dim int, tables int, bits int").write.parquet(f"{path}/hash")
+    write_hashed(corpus, f"{path}/cells", Planes(*setting))
+
+
+def search_lsh(spark: SparkSession, path: str, queries: DataFrame, *args, **options) -> DataFrame:
+    """`search_hashed` over a table written by `build_lsh`."""
+    planes = Planes(*spark.read.parquet(f"{path}/hash").select("dim", "tables", "bits").first())
+    return search_hashed(spark.read.parquet(f"{path}/cells"), queries, planes, *args, **options)
 
 
 # --- clusters ----------------------------------------------------------------
@@ -165,7 +186,7 @@ def build_clusters(
     centres.coalesce(1).write.parquet(f"{path}/centres")
     assign = _nearest_cells(_centres(spark, path), 1)
     assigned = known.withColumn("cell", F.get(assign("embedding"), F.lit(0)))
-    _write_cells(assigned, path)
+    _write_cells(assigned, f"{path}/cells")
 
 
 def search_clusters(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions.paths import is_notebook
 from repoquarry.functions.text import is_blank, remove_nul
+from repoquarry.operators.approx import Planes, search_hashed, write_hashed
 from repoquarry.operators.chunk import route, split_by_chars, with_path_header
 from repoquarry.operators.dedup import digests, first_of_equals, kept_chunks, number_kept
 from repoquarry.operators.embed import Embedder, HashEmbedder, check_content, embed_column
@@ -38,8 +39,9 @@ from repoquarry.params import (
     STRUCTURED_LANGUAGES,
     IndexParams,
 )
+from repoquarry.schemas import FILE_SCHEMA, MANIFEST_SCHEMA, require
 from repoquarry.sources.documents import as_documents, one_document
-from repoquarry.sources.index_table import REFUSED, IndexTable
+from repoquarry.sources.index_table import REFUSED, IndexTable, Manifest
 from repoquarry.sources.repo_files import list_files, read_files
 from repoquarry.session import materialise, tasks_for
 
@@ -129,6 +131,7 @@ def build_chunks(files: DataFrame, params: IndexParams = IndexParams()) -> Chunk
     digests; what follows works on digests and counts until the kept texts are read
     back.
     """
+    require(files, FILE_SCHEMA, "files")
     decided = decide(listed(files), params.max_bytes).withColumn(
         "reason", F.col("decision.reason")
     )
@@ -415,6 +418,7 @@ def index_repositories(
     of which a folder or file cannot be listed is not indexed: it keeps the rows it has, and
     the summary and the failures name it. A repository that is there twice is a bad URL.
     """
+    require(manifest, MANIFEST_SCHEMA, "snapshots")
     good, bad = split_repo_urls(manifest)
     found = decide(listed(list_files(good)), params.max_bytes)
     partial = found.where(F.col("error").isNotNull()).select("repo_url").distinct()
@@ -445,9 +449,11 @@ def search(
     k: int = 2,
     max_distance: float | None = None,
     with_embedding: bool = False,
+    approximate: bool = False,
 ) -> DataFrame:
     """The k stored rows nearest to each of `queries(query_id, query)`:
-    (query_id, rank, distance) and the columns of the index.
+    (query_id, rank, distance) and the columns of the index. With `approximate` only rows
+    in the hashed cells of a query are compared with it.
 
     The search reads ids and vectors only. The rows found are then fetched by their
     bucket and id, without the vectors unless `with_embedding`.
@@ -456,10 +462,24 @@ def search(
     embedder = embedder or HashEmbedder(manifest.dim)
     rows = table.read(manifest)
     vectors = materialise(embed_queries(queries, embedder), "queries")
-    hits = nearest(rows.select("id", "embedding"), vectors, k, max_distance)
+    if approximate and manifest.runs:
+        cells = hashed_rows(table, manifest)
+        hits = search_hashed(cells, vectors, Planes(manifest.dim), k, max_distance)
+    else:
+        hits = nearest(rows.select("id", "embedding"), vectors, k, max_distance)
     return fetch(rows if with_embedding else rows.drop("embedding"), hits)
 
 
+def hashed_rows(table: IndexTable, manifest: Manifest) -> DataFrame:
+    """The hashed cells of all live rows. Cells are written run by run, once, as a run never
+    changes; what replaced or deleted rows is seen through the manifest."""
+    new = [run for run in manifest.runs if not table.has_derived("hashed", run)]
+    for run in new:
+        rows = table.read(Manifest(0, manifest.buckets, manifest.dim, runs={run: []}))
+        write_hashed(rows, table.derived_path("hashed", run), Planes(manifest.dim))
+    return table.read_derived("hashed", manifest)
+
+
 def fetch(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Stored rows of search results.
 

@@ -630,6 +630,7 @@ _STORED = "nullif(source, 'src3') AS repo_url, sha256(text) AS digest"
 _N = "(SELECT count(*) FROM documents)"
 
 index_rows = f"SELECT doc_id + 1 AS id, {_STORED} FROM documents"
+search_self = "SELECT doc_id AS query_id, true AS found FROM documents"
 of_repo = f"SELECT doc_id + 1 AS id, {_STORED} FROM documents WHERE source = 'src0'"
 drop_table = "SELECT count(*) AS n_rows, true AS there, false AS other_there FROM documents"
 ingest_one = f"""

@@ -659,6 +659,15 @@ def delete_repo(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(index).withColumn("deleted", F.lit(deleted).cast("bigint"))
 
 
+@query(oracle.search_self)
+def search_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text as a query: equal texts share all cells, so each finds the first of its copies."""
+    index, docs = _index(spark, sf)
+    asked = docs.select(F.col("seq").alias("query_id"), F.col("content").alias("query"))
+    found = jobs.search(index, asked, k=1, approximate=True)
+    return found.select("query_id", (F.abs("distance") < 1e-6).alias("found"))
+
+
 @query(oracle.of_repo)
 def of_repo(spark: SparkSession, sf: str) -> DataFrame:
     index, _ = _index(spark, sf)

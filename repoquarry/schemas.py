@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+
+def require(df: DataFrame, schema: T.StructType, what: str) -> None:
+    """Refuse an input that lacks columns, before any work is done on it."""
+    missing = [name for name in schema.fieldNames() if name not in df.columns]
+    if missing:
+        raise ValueError(f"{what} need the columns {', '.join(missing)}")
+
+
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("repo_url", T.StringType()),

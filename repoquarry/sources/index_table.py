@@ -107,27 +107,42 @@ class IndexTable:
         manifest = manifest or self.manifest()
         if not manifest.runs:
             return self.spark.createDataFrame([], _STORED).drop("run")
-        # One condition for all runs that lost the same buckets.
-        same: dict[tuple[int, ...], list[str]] = {}
-        for run, dead in manifest.runs.items():
-            same.setdefault(tuple(dead), []).append(run)
-        live = reduce(
-            or_,
-            [
-                F.col("run").isin(runs) & ~F.col("repo_bucket").isin([REFUSED, *dead])
-                for dead, runs in same.items()
-            ],
-        )
         data = f"{self.path}/data"
         paths = [f"{data}/run={run}" for run in manifest.runs]
         return (
             self.spark.read.schema(_STORED)
             .option("basePath", data)
             .parquet(*paths)
-            .where(live)
+            .where(self._live(manifest))
             .drop("run")
         )
 
+    def _live(self, manifest: Manifest) -> Column:
+        """Rows of (run, repo_bucket) that count: one condition for all runs that lost the
+        same buckets."""
+        same: dict[tuple[int, ...], list[str]] = {}
+        for run, dead in manifest.runs.items():
+            same.setdefault(tuple(dead), []).append(run)
+        parts = [
+            F.col("run").isin(runs) & ~F.col("repo_bucket").isin([REFUSED, *dead])
+            for dead, runs in same.items()
+        ]
+        return reduce(or_, parts)
+
+    # --- tables derived from runs ---
+
+    def derived_path(self, name: str, run: str) -> str:
+        return f"{self.path}/{name}/run={run}"
+
+    def has_derived(self, name: str, run: str) -> bool:
+        return path_exists(self.spark, f"{self.derived_path(name, run)}/_SUCCESS")
+
+    def read_derived(self, name: str, manifest: Manifest) -> DataFrame:
+        """Live rows of a derived table, which has to keep `repo_bucket`."""
+        paths = [self.derived_path(name, run) for run in manifest.runs]
+        rows = self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
+        return rows.where(self._live(manifest)).drop("run", "repo_bucket")
+
     def of_repo(self, repo_url: str) -> DataFrame:
         """Rows of one repository; reads one bucket."""
         manifest = self.manifest()
@@ -266,7 +281,7 @@ class IndexTable:
         kept = {f"run={run}" for run in (*manifest.runs, *manifest.group_runs)}
         kept |= {f"v={manifest.version}"}
         gone = 0
-        for folder in ("data", "group_files", "manifest"):
+        for folder in ("data", "group_files", "hashed", "manifest"):
             for name, changed in entries(self.spark, f"{self.path}/{folder}"):
                 if name not in kept and changed <= limit:
                     gone += delete_path(self.spark, f"{self.path}/{folder}/{name}")

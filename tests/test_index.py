@@ -88,7 +88,7 @@ def test_append_and_ids(spark, table):
 
 def test_ids_without_an_order_column(spark, table):
     rows = docs(spark, [("a", f"t{i}") for i in range(20)] + [("a", " ")]).drop("seq").repartition(3)
-    done = jobs.ingest(table, rows)
+    done = jobs.ingest(table, rows, params=IndexParams(on_error="quarantine"))
     ids = [r.id for r in done.ids.collect()]
     assert len(set(ids)) == 20 and min(ids) >= 1 and max(ids) <= 21
     assert table.manifest().max_id == max(ids)
@@ -205,6 +205,27 @@ def test_compaction_and_vacuum(spark, table):
     assert jobs.ingest_one(table, "next") > max(r[0] for r in rows)
 
 
+def test_approximate_search_follows_the_index(spark):
+    """Each text finds itself, and only while it is live."""
+    table = IndexTable.create(spark, scratch_path(spark, "index"), 512, 4)
+    texts = [f"alpha{i} beta{i * 7} gamma{i % 5}" for i in range(60)]
+    jobs.ingest(table, docs(spark, [(f"r{i % 6}", t) for i, t in enumerate(texts)]))
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
+
+    def own():
+        rows = jobs.search(table, asked, k=1, approximate=True).where("distance < 1e-6").collect()
+        return {r.query_id for r in rows if r.content == texts[r.query_id]}
+
+    assert own() == set(range(60))
+    table.delete_repo("r1")
+    jobs.ingest(table, docs(spark, [("r2", "something else")]), clear_existing=True)
+    assert own() == {i for i in range(60) if i % 6 not in (1, 2)}
+    jobs.ingest(table, docs(spark, [("r1", texts[1])]))
+    table.compact()
+    table.vacuum(0)
+    assert own() == {i for i in range(60) if i % 6 not in (1, 2)} | {1}
+
+
 def test_equal_numbers_are_refused(spark, table):
     rows = spark.createDataFrame([("a", "x", 0), ("a", "y", 0)], SCHEMA)
     with pytest.raises(ValueError, match="more than once"):
