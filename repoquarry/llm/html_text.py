@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoquarry.llm.common import slices
+
 from repoquarry.llm.url_filter import host_of
 from repoquarry.session import materialise
 
@@ -272,7 +274,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _branch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         hosts, pages, rows = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
             page = Page(source.as_py() or "")
@@ -323,7 +325,7 @@ def _noise(importance: DataFrame) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = []
         for source, gone in zip(batch.column(1), batch.column(2)):
             noise = {p % (1 << 64) for p in gone.as_py()} if gone.is_valid else frozenset()

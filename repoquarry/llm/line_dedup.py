@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.llm.common import content_key
+from repoquarry.llm.common import content_key, slices
 
 WINDOW = 2  # lines
 CUT_EVERY = 2  # lines, on average, beyond the first two of a chunk
@@ -67,7 +67,7 @@ def chunks(text: str) -> list[tuple[int, bytes]]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at, starts, digests = [], [], []
         for row, t in enumerate(batch.column(1)):
             for start, piece in chunks(t.as_py() or ""):
@@ -84,7 +84,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _first_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks that start at the given lines of a text."""
-    for batch in batches:
+    for batch in slices(batches):
         digests, pieces = [], []
         for t, starts in zip(batch.column(0), batch.column(1)):
             wanted = set(starts.as_py())
@@ -109,7 +109,7 @@ def without(text: str, pieces: dict[int, bytes]) -> tuple[str, int]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, gone = [], []
         for t, repeats in zip(batch.column(1), batch.column(2)):
             text, n = t.as_py(), 0

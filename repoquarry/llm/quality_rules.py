@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoquarry.llm.common import slices
+
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_lines", "n_upper", "n_digits",
@@ -83,7 +85,7 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [measure(t.as_py() or "") for t in batch.column(1)]
         columns = zip(*rows) if rows else [[] for _ in MEASURES]
         arrays = [pa.array(c, pa.int64()) for c in columns]
@@ -128,7 +130,7 @@ def ablation(entries: DataFrame, policy: str) -> DataFrame:
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [measure(t.as_py() or "") for t in batch.column(0)]
         arrays = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(MEASURES))]
         yield pa.RecordBatch.from_arrays([batch.column(1), *arrays], ["_doc", *MEASURES])

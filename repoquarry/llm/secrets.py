@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoquarry.llm.common import slices
+
 KINDS = ("assign", "access", "hex", "entropy")
 _WORDS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(
@@ -130,7 +132,7 @@ _FIELDS = (
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [scan(t.as_py() or "") for t in batch.column(1)]
         columns = list(zip(*rows)) if rows else [[] for _ in _FIELDS]
         arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS)]

@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, models, normalizers
 
+from repoquarry.llm.common import slices
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT_SEGMENTS = 200_000  # per worker, then the table starts again
+KEPT_SEGMENTS = 100_000  # per worker, then the table starts again
 BATCH_BYTES = 1 << 20
 
 
@@ -98,7 +100,7 @@ class Codec:
         self._normalizer = normalizers.Precompiled(self.charsmap) if self.charsmap else None
         self._tokenizer = self._build()
         self._cut = self._segments()
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, bytes] = {}
         self._bytes = [self._piece_bytes(i) for i in range(len(self.pieces))]
 
     def _build(self) -> Tokenizer:
@@ -177,23 +179,31 @@ class Codec:
         for segment, found in zip(
             segments, self._tokenizer.encode_batch_fast(segments, add_special_tokens=False)
         ):
-            self._known[segment] = found.ids
+            self._known[segment] = np.array(found.ids, np.int32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers in a row."""
         cut = self._cut
         parts = []
         for text in texts:
             normal = self.normalised(text)
             parts.append(cut.findall(normal) if cut is not None else [normal] if normal else [])
         if len(self._known) > KEPT_SEGMENTS:
-            self._known = {}
+            self.forget()
         known = self._known
         new = set(chain.from_iterable(parts)).difference(known)
         if new:
             self._learn(new)
         lookup = known.__getitem__
-        return [list(chain.from_iterable(map(lookup, p))) for p in parts]
+        return [b"".join(map(lookup, p)) for p in parts]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        return [np.frombuffer(p, np.int32).tolist() for p in self.encode_packed(texts)]
+
+    def forget(self) -> None:
+        """Give up the segments kept so far."""
+        self._known = {}
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes of byte pieces join; what is no UTF-8 becomes U+FFFD, one
@@ -247,18 +257,6 @@ def verify_parity(path: str, texts: list[str]) -> list[str]:
     return odd
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    group: list[str] = []
-    size = 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= 4 * BATCH_BYTES:
-            yield group
-            group, size = [], 0
-    yield group
-
-
 def _sent(df: DataFrame, model: str) -> Broadcast:
     """The model on all executors: a file of a few megabytes at most."""
     return df.sparkSession.sparkContext.broadcast(read_model(model))
@@ -267,22 +265,24 @@ def _sent(df: DataFrame, model: str) -> Broadcast:
 def _encoder(model: Broadcast, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value, threads)
-        for batch in batches:
-            done = 0
-            for texts in _groups([t.as_py() or "" for t in batch.column(1)]):
-                ids = codec.encode(texts)
-                same = [codec.decode(i) == codec.plain(t) for i, t in zip(ids, texts)]
-                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                arrays = [
-                    batch.column(0).slice(done, len(texts)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array(same, pa.bool_()),
-                ]
-                done += len(texts)
-                yield pa.RecordBatch.from_arrays(arrays, ["_id", "token_ids", "n_tokens", "round_trip"])
+        for batch in slices(batches):
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            packed = codec.encode_packed(texts)
+            ids = [np.frombuffer(p, np.int32) for p in packed]
+            same = [codec.decode(i.tolist()) == codec.plain(t) for i, t in zip(ids, texts)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(packed), np.int32)
+            arrays = [
+                batch.column(0),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                pa.array(sizes),
+                pa.array(same, pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                arrays, ["_id", "token_ids", "n_tokens", "round_trip"]
+            )
+        codec.forget()
 
     return run
 
@@ -300,7 +300,7 @@ def encode_texts(docs: DataFrame, model: str, id: str = "doc_id", text: str = "t
 def _decoder(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [codec.decode(i.as_py() or []) for i in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "text"])
 

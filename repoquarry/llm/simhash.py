@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.llm.common import content_key
+from repoquarry.llm.common import content_key, slices
 from repoquarry.session import materialise
 
 _BLOCK = 1 << 16  # shingles whose bits are counted at once
@@ -56,14 +56,14 @@ def fingerprint(text: str, width: int) -> int:
 
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[str, int] = {}
+        last, value = "", 0
+        for batch in slices(batches):
             values = []
             for t in batch.column(1):
                 text = t.as_py() or ""
-                if text not in known:
-                    known[text] = fingerprint(text, width)
-                values.append(known[text])
+                if text != last:
+                    last, value = text, fingerprint(text, width)
+                values.append(value)
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["_id", "_fp"])
 
