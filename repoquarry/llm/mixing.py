@@ -26,7 +26,7 @@ from repoquarry.operators.numbering import running_totals
 from repoquarry.session import explode_all, materialise
 
 GOLDEN = 0.6180339887498949
-RUN = 1 << 16
+RUN = 1 << 12  # slots ranked by one task at most
 BINS = 4096
 
 
