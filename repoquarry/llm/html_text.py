@@ -5,9 +5,9 @@ tags and classes. For each path two entropies are taken over the host's differen
 of presentation (which children the element has) and of content (its text). A branch that
 looks and reads alike on most pages carries no information about any of them: its
 importance, the weighted sum of both, is low, and it is removed from every page. Elements
-whose tag, role or class names their purpose (menus, adverts, forms ...) have importance
-zero from the start. What holds the article is never removed, however many copies of a
-page a host has; equal articles count once.
+whose tag, role, class or id names their purpose (menus, adverts, forms ...) have importance
+zero from the start; a class or id does so as a whole, not by a piece of it. No name, and no
+number of copies of a page, removes what holds the article; equal articles count once.
 
 The text is that of the article elements; without any, of the main element; without it, of
 the body. Character references are decoded, white space becomes one space, and blocks are
@@ -93,6 +93,13 @@ _NOT_ARTICLES = frozenset(
     "comment comments reply replies related recommended sponsored promo advert ad ads card teaser".split()
 )
 _OUTSIDE_NAMES = frozenset("header masthead banner topbar".split())  # not inside an article
+# Words that do not change what a name says: "nav-bar" is a menu, "has-sidebar" is no sidebar.
+_NEUTRAL = frozenset(
+    "area bar block bottom box button buttons container form global icon icons inner item items"
+    " left link links list main outer panel primary right secondary section site top unit"
+    " wrap wrapper".split()
+)
+_TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _TREE_TAGS = frozenset("div section ul ol dl table figure header main details center fieldset".split())
 
 
@@ -102,9 +109,12 @@ class Element:
     label: str
     path: int
     parent: int
-    gone: bool
+    ends: bool  # goes with all below it, by its tag or role
+    named: bool  # goes by its name, if it does not hold the article
     first: int  # the first text run inside
     last: int = -1
+    gone: bool = False
+    holds: bool = False  # is an article, or the main element
     rooted: bool = False  # an article is inside
     in_article: bool = False
     children: list[str] = field(default_factory=list)
@@ -122,17 +132,47 @@ def _names(rest: str) -> tuple[list[str], str]:
     return [w for w in words if w], role
 
 
-def _classes(rest: str) -> list[str]:
-    return [w for name, a, b, c in _ATTRIBUTE.findall(rest) if name.lower() == "class"
+def _values(rest: str, wanted: str) -> list[str]:
+    return [w for name, a, b, c in _ATTRIBUTE.findall(rest) if name.lower() == wanted
             for w in (a or b or c).lower().split()]
 
 
+def _classes(rest: str) -> list[str]:
+    return _values(rest, "class")
+
+
+def _ids(rest: str) -> list[str]:
+    return _values(rest, "id")
+
+
+def _says(name: str, words: frozenset[str], neutral: frozenset[str] = _NEUTRAL) -> bool:
+    """Whether a whole class or id is made of these words and neutral ones."""
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    return any(p in words for p in parts) and all(p in words or p in neutral for p in parts)
+
+
+def _named(tag: str, rest: str, inside: bool) -> bool:
+    """Whether class or id name a purpose. Headings and paragraphs are not named by an id, nor
+    by a class inside an article."""
+    names = _classes(rest)
+    if tag in ("article", "main"):
+        return any(w in _NOT_ARTICLES for w in names)
+    if tag in _TEXT_TAGS:
+        names = [] if inside else names
+    else:
+        names = names + _ids(rest)
+    return any(
+        _says(w, _GONE_NAMES) or (not inside and _says(w, _OUTSIDE_NAMES, _NEUTRAL | {"page"}))
+        for w in names
+    )
+
+
 class Page:
     """The elements and text runs of a page. A run is (element, text); text None is the
     border of a block."""
 
     def __init__(self, source: str):
-        self.elements = [Element("", "", 0, -1, False, 0)]
+        self.elements = [Element("", "", 0, -1, False, False, 0)]
         self.runs: list[tuple[int, str | None]] = []
         self.stack = [0]
         at, size = 0, len(source)
@@ -159,6 +199,22 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
         self.elements[0].last = len(self.runs)
+        self._settle()
+
+    def _settle(self) -> None:
+        """What goes, now that it is known what holds an article. Inside an article, names
+        decide whatever the element holds."""
+        shut = [False]
+        for e in self.elements[1:]:
+            above = self.elements[e.parent]
+            final = e.named and (above.in_article or e.tag in ("article", "main"))
+            shut.append(shut[e.parent] or e.ends or final)
+        for number, e in enumerate(self.elements):
+            while e.holds and not shut[number] and not self.elements[number].rooted:
+                self.elements[number].rooted = True
+                number = max(0, self.elements[number].parent)
+        for e in self.elements[1:]:
+            e.gone = self.elements[e.parent].gone or e.ends or (e.named and not e.rooted)
 
     def _pop(self) -> None:
         number = self.stack.pop()
@@ -197,29 +253,18 @@ class Page:
             return
         words, role = _names(rest) if "=" in rest else ([], "")
         inside = above.in_article or tag == "article"
-        if tag in ("article", "main"):
-            named = any(w in _NOT_ARTICLES for w in _classes(rest))
-        else:
-            named = any(w in _GONE_NAMES for w in words)
-        gone = (
-            above.gone
-            or tag in _GONE_TAGS
-            or role in _GONE_ROLES
-            or named
-            or (not inside and (tag == "header" or any(w in _OUTSIDE_NAMES for w in words)))
-        )
+        ends = tag in _GONE_TAGS or role in _GONE_ROLES or (not inside and tag == "header")
+        named = "=" in rest and _named(tag, rest, inside)
         if tag in ("html", "body"):
-            gone = above.gone
+            ends = named = False
         label = f"{tag}.{'.'.join(words)}" if words else tag
         path = xxhash.xxh64_intdigest(label, above.path)
         above.children.append(label)
-        self.elements.append(Element(tag, label, path, parent, gone, len(self.runs)))
+        self.elements.append(Element(tag, label, path, parent, ends, named, len(self.runs)))
         number = len(self.elements) - 1
         self.elements[number].in_article = inside
         self.stack.append(number)
-        if not gone and (tag in ("article", "main") or role == "main"):
-            for open_one in self.stack:
-                self.elements[open_one].rooted = True
+        self.elements[number].holds = tag in ("article", "main") or role == "main"
 
     def _roots(self) -> list[Element]:
         stays = [e for e in self.elements[1:] if not e.gone]

@@ -266,6 +266,21 @@ def test_small_pages(source, text):
     assert html_text.Page(source).text() == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<div class='layout has-sidebar'><article>a</article></div>", "a"), ("<div id='search-page'><main>a</main></div>", "a"),
+        ("<div class='no-comments'><div class='sidebar'>s</div><article>a</article></div>", "a"), ("<div class='comments'><article>a</article></div>", "a"),
+        ("<div class=sidebar><div class=menu>m</div><article>a</article>b</div>", "a"),
+        ("<article><h2 id='related-work'>h</h2><p class='notice'>p</p><section id='legal-status'>s</section></article>", "h\np\ns"),
+        ("<article>a<div class='nav-bar'>n</div><div class='related'><article>r</article></div></article>", "a"),
+        ("<body><div class='page-header'>x</div><div class='comments-section'>y</div><p class='copyright'>z</p>t</body>", "t"),
+    ],
+)
+def test_names_are_whole(source, text):
+    assert html_text.Page(source).text() == text
+
+
 def test_site_style_tree(spark):
     pages = [(i, f"http://h.example.com/{i}", PAGE.format(n=i)) for i in range(20)]
     plain = "<body><div class='top'>Read this <b>daily</b></div><div class='text'><p>Words {n}</p></div><div class='x'>Fine print</div></body>"
