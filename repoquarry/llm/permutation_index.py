@@ -49,10 +49,13 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """Different vectors of smallest hash: at most 4 * count rows reach the driver."""
-    few = vectors.select("_v", F.xxhash64("_v").alias("_h")).orderBy("_h").limit(4 * count)
-    rows = dict.fromkeys(tuple(r._v) for r in few.collect())
-    return np.array(list(rows)[:count], dtype=np.float64)
+    """Different vectors of smallest hash. Copies are dropped before the smallest are taken, so
+    however many there are, only `count` vectors reach the driver."""
+    hashed = vectors.select("_v", F.xxhash64("_v").alias("_h"))
+    few = [r._h for r in hashed.select("_h").distinct().orderBy("_h").limit(count).collect()]
+    kept = hashed.where(F.col("_h").isin(few)).groupBy("_h").agg(F.first("_v").alias("_v"))
+    rows = dict.fromkeys(tuple(r._v) for r in sorted(kept.collect(), key=lambda r: r._h))
+    return np.array(list(rows), dtype=np.float64)
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:

@@ -254,6 +254,17 @@ def test_recall_in_many_blocks(spark):
     assert hits >= 0.9 * 300
 
 
+def test_pivots_beside_many_copies(spark):
+    """A third of all rows are the vector of smallest hash."""
+    vectors = np.random.default_rng(7).normal(size=(3000, 8)).round(3)
+    df = spark.createDataFrame([(v.tolist(),) for v in vectors], "_v array<double>")
+    hot = df.orderBy(F.xxhash64("_v")).limit(1)
+    copies = hot.crossJoin(spark.range(1500)).select("_v")
+    pivots = permutation_index.choose_pivots(df.union(copies), 256)
+    assert len({tuple(p) for p in pivots}) == len(pivots) == 256
+    assert pivots.tolist() == permutation_index.choose_pivots(df, 256).tolist()
+
+
 def test_footrule():
     rng = np.random.default_rng(1)
     order = np.array([rng.permutation(20)[:6] for _ in range(50)], dtype=np.int16)
