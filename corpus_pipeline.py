@@ -2,7 +2,7 @@
 `repoquarry.llm`. Each stage takes (spark, docs, sf_dir); its rows are written and read
 again before the next. All but the last return the columns of documents.
 
-SQL cannot express repeated passages, shingle sets or token ids, so there is no SQL for the rows;
+SQL cannot express repeated passages, fingerprints or token ids, so there is no SQL for the rows;
 the tests compare the run with a brute-force version.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repoquarry.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, shingle_dedup
+from repoquarry.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, simhash
 from repoquarry.llm.common import table
 from repoquarry.llm.registered import TOKENIZER
 from repoquarry.session import materialise, ship_package
@@ -28,10 +28,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup_lines(docs).drop("_gone")
 
 
+# The SimHash contract: 3-word shingles, fingerprints linked at 2 or fewer differing bits.
+SIMHASH_WIDTH, SIMHASH_DISTANCE = 3, 2
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies by SimHash stays: the smallest doc_id."""
     ship_package(spark)
-    return shingle_dedup.one_of_each(docs)
+    return simhash.one_of_each(docs, width=SIMHASH_WIDTH, distance=SIMHASH_DISTANCE)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
