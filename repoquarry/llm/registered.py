@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.llm import (
     html_text, line_dedup, mixing, permutation_index, pii, quality_rules, secrets,
-    sentencepiece_codec, sharding, simhash, url_filter,
+    sentencepiece_codec, sharding, simhash, spelling, url_filter,
 )
 from repoquarry.llm.common import table
 
@@ -92,12 +92,16 @@ def op11_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_mix_sources, op2_nearest_vectors, op3_dedup_lines, op4_quality_rules, op5_main_text,
         op6_find_secrets, op7_filter_urls, op8_sentencepiece, op9_simhash, op10_shards,
-        op11_find_pii,
+        op11_find_pii, op12_spelling_variants,
     )
 }
 

@@ -132,3 +132,80 @@ def test_terms_that_disclose(spark):
     assert "today" in got[0].sanitised and "quasi" not in got[10].spans and "quasi" not in got[40].spans
     assert math.isclose(1.0, max(r.posterior for r in pii.disclosing_terms(
         pii.statistics(docs.withColumn("_k", F.col("doc_id")), "_k", "text")).collect()))
+
+
+# --- Spelling variants ---------------------------------------------------------------
+
+
+def brute_variants(rows):
+    import zlib
+
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            counts[run] += 1
+    vocab = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+    def one_apart(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1 or a == b:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    words = sorted(vocab)
+    near = {w: [o for o in words if one_apart(w, o)] for w in words}
+    out = {}
+    for w in words:
+        best = min(near[w], key=lambda o: (-vocab[o], o), default=None)
+        form = best if best is not None and vocab[best] >= 5 * vocab[w] else None
+        out[w] = [form, None, vocab[w], len(near[w]), vocab[form] if form else None]
+    for w in words:
+        r = w
+        while out[r][0]:
+            r = out[r][0]
+        out[w][1] = r
+    return out
+
+
+@here
+def test_spelling_variants(spark):
+    from repoquarry.llm import spelling
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = brute_variants([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = {r.word: [r.form, r.root, r.n, r.n_near, r.form_n] for r in registered.op12_spelling_variants(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+    assert any(v[0] for v in want.values())
+
+
+def test_spelling_odd_rows(spark):
+    from repoquarry.llm import spelling
+
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "Wonderful " * 6), (None, None)]
+    rows += [(50 + i, "wonderful " * 30 + "wonderfull wondreful ÀÀÀÀÀÀ " * 6 + "wnderful " * 5) for i in range(3)]
+    rows += [(60, "aaaaaa aaaaab aaaaba " * 6), (60, "aaaaaa aaaaab aaaaba " * 6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("word", F.lit("x")).withColumn("_w", F.lit(1))
+    want = brute_variants(rows)
+    got = {r.word: [r.form, r.root, r.n, r.n_near, r.form_n] for r in spelling.variants(docs).collect()}
+    assert got == want and got["wonderfull"][0] == "wonderful"
+    assert spelling.variants(docs.limit(0)).collect() == []
+
+
+def test_hot_signatures_are_refined(spark, monkeypatch):
+    """With every key hot, the refined level finds the same pairs."""
+    from repoquarry.llm import spelling
+
+    rows = [(i, "abcdef abcdeg abcdfg bcdefg abcdefg abdcef " * 5) for i in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    plain = sorted(tuple(r) for r in spelling.variants(docs).collect())
+    monkeypatch.setattr(spelling, "HOT", 1)
+    assert sorted(tuple(r) for r in spelling.variants(docs).collect()) == plain
+    assert plain == sorted((w, *v) for w, v in brute_variants(rows).items()) and len(plain) == 6
