@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.llm import (
-    html_text, line_dedup, mixing, permutation_index, pii, quality_rules, secrets,
+    html_text, lexical_search, line_dedup, mixing, permutation_index, pii, quality_rules, secrets,
     sentencepiece_codec, sharding, simhash, spelling, url_filter,
 )
 from repoquarry.llm.common import table
@@ -96,16 +96,42 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.rank(docs, items)
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_mix_sources, op2_nearest_vectors, op3_dedup_lines, op4_quality_rules, op5_main_text,
         op6_find_secrets, op7_filter_urls, op8_sentencepiece, op9_simhash, op10_shards,
-        op11_find_pii, op12_spelling_variants,
+        op11_find_pii, op12_spelling_variants, op13_ranked_search,
     )
 }
 
 ORACLES = {
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS big_n, sum(len(t)) AS big_l FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, s),
+dm AS (SELECT r, doc_id, 25 + (75 * len(t)::BIGINT * big_n) // big_l AS m FROM d, s),
+i AS (
+  SELECT item_id, term, count(*) AS c FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+sc AS (
+  SELECT i.item_id, dm.doc_id, sum(i.c * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * dm.m)))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN dm USING (r) GROUP BY i.item_id, dm.r, dm.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
+SELECT item_id::BIGINT AS item_id, rank::INT AS rank, doc_id::BIGINT AS doc_id, score FROM o WHERE rank <= 10
+""",
     "op4_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,

@@ -209,3 +209,73 @@ def test_hot_signatures_are_refined(spark, monkeypatch):
     monkeypatch.setattr(spelling, "HOT", 1)
     assert sorted(tuple(r) for r in spelling.variants(docs).collect()) == plain
     assert plain == sorted((w, *v) for w, v in brute_variants(rows).items()) and len(plain) == 6
+
+
+# --- Ranked lexical search -----------------------------------------------------------
+
+
+def brute_rank(docs, items, k=10):
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = [(d, Counter(term.findall((t or "").translate(low)))) for d, t in docs]
+    big_n = sum(1 for _, c in split if c)
+    big_l = sum(sum(c.values()) for _, c in split)
+    df = Counter(t for _, c in split for t in c)
+    out = []
+    for item, text in items:
+        asked = Counter(term.findall((text or "").translate(low)))
+        scored = []
+        for d, c in split:
+            m = 25 + (75 * sum(c.values()) * big_n) // big_l if big_l else 0
+            s = sum(n * math.floor(1000 * math.log((2 * big_n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m))
+                    for t, n in asked.items() if c[t])
+            if s > 0:
+                scored.append((-s, d is None, d or 0, d))
+        for rank, (s, _, _, d) in enumerate(sorted(scored)[:k], 1):
+            out.append((item, rank, d, -s))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+@here
+def test_ranked_search_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    want = brute_rank(docs, items)
+    got = sorted(tuple(r) for r in registered.op13_ranked_search(spark, sf).collect())
+    assert got == want and len(got) > 100
+
+
+def test_ranked_search_odd_rows(spark):
+    from repoquarry.llm import lexical_search
+
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, ODD[3]), (None, "Zebra zebra QUAGGA"), (90, "zebra zebra quagga")]
+    rows += [(91, "Zebra"), (92, "quagga ü"), (93, "zebra, zebra; quagga"), (94, "zebra")]
+    asks = [(1, "zebra quagga quagga"), (2, None), (3, "nothing matches"), (4, "Ü ü 🙂"), (None, "zebra")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("score", F.lit("x"))
+    items = spark.createDataFrame(asks, "item_id bigint, text string").withColumn("rank", F.lit(1))
+    got = sorted((tuple(r) for r in lexical_search.rank(docs, items).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert got == brute_rank(rows, asks)
+    assert [r[2] for r in got if r[0] == 1][:2] == [90, 93]  # equal scores: the smaller id first
+    assert lexical_search.rank(docs.limit(0), items).collect() == []
+    assert lexical_search.rank(docs, items.limit(0)).collect() == []
+
+
+def test_tree_prunes_and_stays_exact():
+    from repoquarry.llm.lexical_search import Tree, gain
+
+    import random
+
+    rnd = random.Random(7)
+    tree, vectors = Tree(), {}
+    for d in range(3000):
+        ranks = sorted(rnd.sample(range(40), rnd.randint(1, 8)))
+        tfs = [rnd.randint(1, 5) for _ in ranks]
+        m = rnd.randint(30, 200)
+        tree.insert(d, m, ranks, tfs)
+        vectors[d] = (m, dict(zip(ranks, tfs)))
+    for _ in range(20):
+        weights = {r: rnd.randint(1, 3000) for r in rnd.sample(range(40), 3)}
+        exact = sorted((-sum(w * gain(v.get(r, 0), m) for r, w in weights.items()), d) for d, (m, v) in vectors.items())
+        want = [(-s, d) for s, d in exact if s < 0][:10]
+        assert tree.search(weights) == want
