@@ -1,9 +1,17 @@
 """Exact top-k by cosine distance for whole tables of queries.
 
 Queries and rows are packed into blocks by the executors, and every block of rows meets
-every block of queries; small query tables are broadcast. A task keeps the best k of each
-query, with matrix products over a block, and emits only those. No pair of query and row
-is ever a row of its own, and nothing of either table passes through the driver.
+every block of queries. A task keeps the best k of each query, with matrix products over a
+block, and emits only those. No pair of query and row is ever a row of its own, and nothing
+of either table passes through the driver.
+
+How blocks meet: if all query blocks together are within BROADCAST_QUERY_BYTES (their size
+is known exactly: queries times dimensions times width), they are broadcast explicitly and
+the corpus is never shuffled. Beyond that the join runs on a grid: the corpus is dealt to
+shards of about TASK_BYTES by a hash of its packed rows, each query block is copied to every
+shard, and the join key is (block, shard), so that each task holds one query block and one
+shard, whatever the number of blocks. The grid join is a shuffle join by hint; Spark can
+broadcast neither side on an estimate.
 """
 
 from __future__ import annotations
@@ -17,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoquarry.session import materialise
+from repoquarry.session import TASK_BYTES, materialise, task_count
 
 QUERY_BLOCK_BYTES = 16 << 20
+BROADCAST_QUERY_BYTES = 64 << 20  # all packed queries, sent to every task at most
 _PAIR_BYTES = 128 << 20  # working set when distances are computed in full
 _PARTIAL = pa.schema(
     [("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]
@@ -221,13 +230,15 @@ def search_blocks(
     k: int,
     max_distance: float | None = None,
     block_bytes: int = QUERY_BLOCK_BYTES,
+    broadcast_bytes: int = BROADCAST_QUERY_BYTES,
 ) -> DataFrame:
     """Best k of each query in parts of the corpus, (query_id, id, distance).
 
     `corpus(id, embedding)` and `queries(query_id, embedding)`; with a `cell` of the rows and
     `cells` of the queries, only rows in a query's cells are compared with it. Queries are
     packed in blocks of about `block_bytes`, rows in smaller ones, both by the executors.
-    Every packed row meets every block; Spark broadcasts the blocks if they are small.
+    Every packed row meets every block: by an explicit broadcast of the blocks up to
+    `broadcast_bytes`, else on the (block, shard) grid.
     """
     spark = corpus.sparkSession
     n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
@@ -243,7 +254,8 @@ def search_blocks(
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")
     width, q_width = _width(corpus), _width(queries)
     rows = corpus.mapInArrow(_packer(dim, max(1, _CHUNK_BYTES // (4 * dim)), width), _PACKED)
-    met = rows.withColumn("block", F.explode(numbers)).join(packed, "block")
+    query_bytes = n * dim * np.dtype(q_width).itemsize
+    met = _meet(rows.withColumn("block", F.explode(numbers)), packed, blocks, corpus, query_bytes <= broadcast_bytes)
     met = met.select("block", "ids", "vectors", "cells", "q_ids", "q_vectors", "q_cells")
     if blocks > 1:
         met = met.sortWithinPartitions("block")
@@ -252,6 +264,19 @@ def search_blocks(
     )
 
 
+def _meet(rows: DataFrame, packed: DataFrame, blocks: int, corpus: DataFrame, small: bool) -> DataFrame:
+    """Packed rows (one per block they meet) joined with the packed query blocks."""
+    if small:
+        return rows.join(F.broadcast(packed), "block")
+    spark = corpus.sparkSession
+    count, dim = corpus.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    corpus_bytes = count * (dim or 1) * 8
+    shards = max(-(-corpus_bytes // TASK_BYTES), -(-task_count(spark) // blocks))
+    on_shard = rows.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
+    copies = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
+    return on_shard.join(copies.hint("shuffle_hash"), ["block", "shard"])
+
+
 def rank_candidates(candidates: DataFrame, k: int) -> DataFrame:
     """The best k of each query with their rank, from partial results."""
     best = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -69,6 +69,37 @@ def test_blocks_of_queries_and_small_batches(spark, data):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_grid_join_of_blocks(spark, data):
+    """Beyond the broadcast limit, query blocks meet corpus shards on a (block, shard) grid;
+    within it they are broadcast and the corpus is not shuffled. Both are exact."""
+    corpus, queries = data
+    df, asked = spark.createDataFrame(corpus, CORPUS), spark.createDataFrame(queries, QUERIES)
+    want = brute_force(corpus, queries, 3)
+    grid = search.search_blocks(df.where("embedding IS NOT NULL"), asked, 3, block_bytes=200, broadcast_bytes=0)
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block#" in plan and "shard#" in plan.split("hashpartitioning(block#", 1)[1].split(")", 1)[0]
+    assert "BroadcastExchange" not in plan
+    assert found(search.rank_candidates(grid, 3)) == want
+    near = search.search_blocks(df.where("embedding IS NOT NULL"), asked, 3, block_bytes=200)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning(block" not in plan
+    assert found(search.rank_candidates(near, 3)) == want
+
+
+def test_twenty_megabytes_of_queries_are_not_keyed_by_block(spark):
+    """20 MB of queries: the plan has no shuffle keyed by block alone, whatever Spark
+    estimates of either side."""
+    rng = np.random.default_rng(3)
+    asked = spark.range(20_000).select(
+        F.col("id").alias("query_id"), F.array(*[F.rand(i).cast("float") for i in range(256)]).alias("embedding")
+    )
+    corpus = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=256)]) for i in range(50)], CORPUS)
+    for limit in (search.BROADCAST_QUERY_BYTES, 0):
+        plan = search.search_blocks(corpus, asked, 2, broadcast_bytes=limit)._jdf.queryExecution().executedPlan().toString()
+        keyed = [p.split(")", 1)[0] for p in plan.split("hashpartitioning(")[1:]]
+        assert not any(k.startswith("block#") and "shard#" not in k for k in keyed)
+
+
 def test_threshold(spark, data):
     corpus, queries = data
     df = spark.createDataFrame(corpus, CORPUS)
