@@ -10,6 +10,8 @@ scanned, by as many tasks as it has splits.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -209,3 +211,87 @@ def search_clusters(
         max_distance,
         block_bytes,
     )
+
+
+# --- multi-probe hashing -----------------------------------------------------
+
+CELL_ROWS = 8  # rows a cell of one table holds on average
+
+
+def bits_for(rows: int, cell_rows: int = CELL_ROWS) -> int:
+    """Planes per table, so that a cell holds about `cell_rows` rows: they follow the count."""
+    return max(1, math.ceil(math.log2(max(2.0, rows / cell_rows))))
+
+
+def probe_masks(distances: np.ndarray, probes: int) -> list[int]:
+    """Bit masks to flip, in order of the summed distance of the flipped planes to the
+    vector: the cell itself, then the next nearest cells (shift and expand on a heap)."""
+    order = np.argsort(distances, kind="stable")
+    z = distances[order]
+    masks, heap = [0], [(float(z[0]), (0,))] if len(z) else []
+    while heap and len(masks) < probes:
+        score, flipped = heapq.heappop(heap)
+        masks.append(sum(1 << int(order[i]) for i in flipped))
+        last = flipped[-1]
+        if last + 1 < len(z):
+            heapq.heappush(heap, (score - float(z[last]) + float(z[last + 1]), flipped[:-1] + (last + 1,)))
+            heapq.heappush(heap, (score + float(z[last + 1]), flipped + (last + 1,)))
+    return masks
+
+
+def probed_cells(planes: Planes, probes: int):
+    """Arrow UDF from a vector to the cells to read: `probes` per table, nearest first."""
+    directions, weights = planes.directions(), 1 << np.arange(planes.bits)
+    dim, tables, bits = planes.dim, planes.tables, planes.bits
+
+    @F.arrow_udf("array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            projected = (flat.reshape(-1, dim) @ directions.T).reshape(-1, tables, bits)
+            out = []
+            for vector in projected:
+                for t, side in enumerate(vector):
+                    code = int((side >= 0) @ weights)
+                    out += [(code ^ m) * tables + t for m in probe_masks(np.abs(side), probes)]
+            width = len(out) // max(1, len(batch))
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * width
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int64()))
+
+    return run.asNondeterministic()
+
+
+def build_multiprobe(corpus: DataFrame, path: str, tables: int = 8, bits: int | None = None) -> None:
+    """Postings (cell, id) of `corpus(id, embedding)` without vectors, and the setting: the
+    number of planes follows the number of rows unless given."""
+    known = corpus.where(F.col("embedding").isNotNull())
+    count, dim = known.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    setting = (dim or 1, tables, bits or bits_for(count))
+    spark = corpus.sparkSession
+    spark.createDataFrame([setting], "dim int, tables int, bits int").write.parquet(f"{path}/hash")
+    planes = Planes(*setting)
+    hashed = known.select("id", planes.cells()("embedding").alias("cells"))
+    _write_cells(hashed.select("id", F.explode("cells").alias("cell")), f"{path}/postings")
+
+
+def search_multiprobe(spark: SparkSession, path: str, corpus: DataFrame, queries: DataFrame, k: int = 2,
+                      probes: int = 4) -> DataFrame:
+    """Approximate `nearest` by the postings of `build_multiprobe`: each query reads `probes`
+    cells a table, nearest first; only then are the vectors of its candidates fetched by id
+    from `corpus(id, embedding)` and compared exactly. (query_id, id, distance, rank,
+    compared), `compared` the candidates of the query."""
+    from repoquarry.functions.vector import cosine_distance
+
+    planes = Planes(*spark.read.parquet(f"{path}/hash").select("dim", "tables", "bits").first())
+    known = queries.where(F.col("embedding").isNotNull())
+    asked = materialise(known.select("query_id", "embedding", probed_cells(planes, probes)("embedding").alias("cells")), "asked")
+    wanted = asked.select("query_id", F.explode("cells").alias("cell")).withColumn("part", _part(F.col("cell")))
+    parts = [r.part for r in wanted.select("part").distinct().collect()]  # PARTS at most
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts))
+    met = wanted.join(postings, ["part", "cell"]).select("query_id", "id").distinct()
+    met = materialise(met, "candidates")
+    sizes = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("compared"))
+    vectors = corpus.select("id", F.col("embedding").alias("_v")).join(met.select("id").distinct(), "id", "left_semi")
+    pairs = met.join(vectors, "id").join(asked.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    measured = pairs.select("query_id", "id", cosine_distance(F.col("_q"), F.col("_v")).alias("distance"))
+    return rank_candidates(measured, k).join(sizes, "query_id")

@@ -503,6 +503,33 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(approx.search_lsh(spark, path, queries, k=5))
 
 
+@query()
+def knn_multiprobe(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashed postings without vectors; 8 cells a table read, nearest first."""
+    rows, queries = _vectors(spark, sf)
+    path = scratch_path(spark, "multiprobe")
+    approx.build_multiprobe(rows, path)
+    return approx.search_multiprobe(spark, path, rows, queries, k=5, probes=8)
+
+
+@query()
+def knn_multiprobe_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the multi-probe search against the exact one, and the share of rows each
+    query compares, for 2 to 32 cells a table."""
+    rows, queries = _vectors(spark, sf)
+    exact = search.nearest(rows, queries, k=5).select("query_id", "id")
+    path = scratch_path(spark, "multiprobe")
+    approx.build_multiprobe(rows, path)
+    total = rows.where(F.col("embedding").isNotNull()).count()
+    measured = []
+    for probes in (2, 8, 32):
+        found = approx.search_multiprobe(spark, path, rows, queries, k=5, probes=probes)
+        hits = exact.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").count()
+        share = found.select("query_id", "compared").distinct().agg(F.avg("compared")).first()[0] or 0.0
+        measured.append((probes, hits / max(1, exact.count()), share / max(1, total)))
+    return spark.createDataFrame(measured, "probes int, recall double, share double")
+
+
 @query(oracle.knn_self)
 def knn_lsh_self(spark: SparkSession, sf: str) -> DataFrame:
     """Equal vectors share all their cells, so each vector finds itself."""

@@ -162,6 +162,30 @@ def test_hashed_search(spark, clustered):
     assert blocks == got
 
 
+def test_probe_order():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        d = np.abs(rng.normal(size=7))
+        scores = sorted(sum(d[i] for i in range(7) if m >> i & 1) for m in range(128))
+        got = approx.probe_masks(d, 40)
+        assert [sum(d[i] for i in range(7) if m >> i & 1) for m in got] == pytest.approx(scores[:40])
+        assert len(set(got)) == 40
+    assert approx.probe_masks(np.array([0.5]), 9) == [0, 1]
+    assert approx.bits_for(2000) == 8 and approx.bits_for(2_000_000) == 18
+
+
+def test_multiprobe_search(spark, clustered):
+    corpus, queries, exact = clustered
+    path = scratch_path(spark, "multiprobe")
+    approx.build_multiprobe(corpus, path)
+    few = approx.search_multiprobe(spark, path, corpus, queries, 5, probes=2).collect()
+    many = approx.search_multiprobe(spark, path, corpus, queries, 5, probes=8)
+    assert recall(found(many), exact) >= 0.9
+    compared = lambda rows: sum({r.query_id: r.compared for r in rows}.values())
+    assert compared(few) <= compared(many.collect()) < 1200 * len(exact)
+    assert all(len(set(ids)) == len(ids) for ids in found(many).values())
+
+
 def test_clustered_search(spark, clustered):
     corpus, queries, exact = clustered
     path = scratch_path(spark, "clusters")
