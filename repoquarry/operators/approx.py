@@ -189,6 +189,25 @@ def build_clusters(
     assign = _nearest_cells(_centres(spark, path), 1)
     assigned = known.withColumn("cell", F.get(assign("embedding"), F.lit(0)))
     _write_cells(assigned, f"{path}/cells")
+    _write_radii(spark, path)
+
+
+def _write_radii(spark: SparkSession, path: str) -> None:
+    """(cell, radius, rows): how far, as the chord between unit vectors, the farthest row of
+    a cell lies from its centre. A zero vector has no direction: its cell gets radius NaN,
+    read as infinite. One row per cell, as many as there are centres."""
+    from repoquarry.functions.vector import cosine_distance
+
+    centres = _centres(spark, path)
+    placed = spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell bigint, centre array<double>"
+    )
+    rows = spark.read.parquet(f"{path}/cells").select("cell", "embedding")
+    chord = F.sqrt(F.lit(2.0) * F.greatest(F.lit(0.0), cosine_distance(F.col("embedding").cast("array<double>"), F.col("centre"))))
+    radii = rows.join(F.broadcast(placed), "cell").groupBy("cell").agg(
+        F.max(chord).alias("radius"), F.count(F.lit(1)).alias("rows")
+    )
+    radii.coalesce(1).write.parquet(f"{path}/radii")
 
 
 def search_clusters(
@@ -213,6 +232,75 @@ def search_clusters(
     )
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms == 0, 1, norms)
+
+
+def _cells_to_prove(centres: np.ndarray, radii: np.ndarray, probes: int):
+    """Arrow UDF from (vector, k-th distance found) to the cells beyond the `probes`
+    nearest that may still hold a row within that distance: by the triangle inequality a
+    row of cell c lies at a chord of at least |q - c| - radius(c) from the query, that is a
+    cosine distance of at least its square over two."""
+    units = _unit(centres)
+    radii = np.where(np.isnan(radii), np.inf, radii)
+
+    @F.arrow_udf("array<bigint>")
+    def cells(vectors: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        limits = found.to_numpy(zero_copy_only=False)
+        for vector, limit in zip(vectors.to_pylist(), limits):
+            v = np.asarray(vector, np.float64)
+            raw = units @ v
+            order = np.argsort(-raw, kind="stable")  # as the probes were chosen
+            norm = np.linalg.norm(v)
+            if norm == 0 or np.isnan(limit):  # no direction: every cell
+                out.append([int(c) for c in order[probes:]])
+                continue
+            chord = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * raw / norm))
+            lower = np.maximum(0.0, chord - radii) ** 2 / 2
+            out.append([int(c) for c in order[probes:] if lower[c] <= limit + 1e-9])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return cells
+
+
+def search_clusters_exact(
+    spark: SparkSession,
+    path: str,
+    queries: DataFrame,
+    k: int = 2,
+    probes: int = 2,
+    block_bytes: int = QUERY_BLOCK_BYTES,
+) -> DataFrame:
+    """The exact `nearest` through the cells of `build_clusters`, with a proof: the
+    `probes` nearest cells give each query a k-th distance; then only the cells whose
+    radius leaves a row within it are read, and the others cannot hold one.
+    (query_id, id, distance, rank, cells_read)."""
+    centres = _centres(spark, path)
+    radii = {r.cell: r.radius for r in spark.read.parquet(f"{path}/radii").collect()}  # one per centre
+    # An empty cell has radius 0 and nothing to find; NaN (a zero vector) is infinite.
+    radius = np.array([radii[i] if i in radii else 0.0 for i in range(len(centres))], np.float64)
+    radius = np.where(np.isnan(radius), np.inf, radius)
+    known = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    first = materialise(search_clusters(spark, path, known, k, probes, block_bytes=block_bytes), "probed")
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
+    limit = F.when(F.col("_n") >= k, F.col("_d")).otherwise(F.lit(float("inf")))
+    asked = known.join(kth, "query_id", "left").select("query_id", "embedding", F.coalesce(limit, F.lit(float("inf"))).alias("_limit"))
+    more = _cells_to_prove(centres, radius, probes)
+    asked = materialise(asked.select("query_id", "embedding", more("embedding", "_limit").alias("cells")), "to-prove")
+    read = asked.select("query_id", (F.size("cells") + F.lit(min(probes, len(centres)))).alias("cells_read"))
+    widest = asked.agg(F.max(F.size("cells"))).first()[0] or 0
+    both = first.drop("rank")
+    if widest:
+        # A block of queries carries as many cells for each; -1 is a cell without rows.
+        padded = F.concat("cells", F.array_repeat(F.lit(-1).cast("bigint"), F.lit(widest) - F.size("cells")))
+        wanting = asked.where(F.size("cells") > 0).withColumn("cells", padded)
+        second = _search_cells(spark.read.parquet(f"{path}/cells"), wanting, k, None, block_bytes)
+        both = both.unionByName(second.drop("rank"))
+    return rank_candidates(both, k).join(read, "query_id")
+
+
 # --- multi-probe hashing -----------------------------------------------------
 
 CELL_ROWS = 8  # rows a cell of one table holds on average

@@ -566,6 +566,16 @@ def knn_all_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(approx.search_clusters(spark, path, queries, k=5, probes=8))
 
 
+@query(oracle.knn_batch)
+def knn_clusters_proven(spark: SparkSession, sf: str) -> DataFrame:
+    """Two cells probed, then only the cells whose radius may hold a nearer row: exact."""
+    rows, queries = _vectors(spark, sf)
+    path = scratch_path(spark, "clusters")
+    approx.build_clusters(rows, path, cells=16)
+    found = approx.search_clusters_exact(spark, path, queries, k=5, probes=2)
+    return _shown(found.drop("cells_read"))
+
+
 @query(oracle.knn_self)
 def dropped_derived(spark: SparkSession, sf: str) -> DataFrame:
     """A derived table goes; the rows it came from still answer."""

@@ -244,3 +244,17 @@ def test_embedding_null_filter_runs_the_embedder_once(spark):
     embedded = embed_column(docs, "text", HashEmbedder(8)).where(F.col("embedding").isNotNull())
     plan = embedded._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_exact_clusters_with_proof(spark, clustered):
+    """Radii prune cells by the triangle inequality; the result is the exact one, and far
+    fewer cells are read than there are."""
+    corpus, queries, exact = clustered
+    path = scratch_path(spark, "clusters")
+    approx.build_clusters(corpus, path, cells=12)
+    got = approx.search_clusters_exact(spark, path, queries, 5, probes=1)
+    assert found(got) == exact
+    read = {r.query_id: r.cells_read for r in got.collect()}
+    assert sum(read.values()) < 12 * len(read)
+    odd = spark.createDataFrame([(1, [0.0] * 16), (2, None)], QUERIES)
+    assert found(approx.search_clusters_exact(spark, path, odd, 3, probes=1)) == found(search.nearest(corpus, odd, 3))
