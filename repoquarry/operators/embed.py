@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+import time
+from collections import Counter, deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from typing import Protocol
 
@@ -80,21 +82,29 @@ def _checked(vectors: np.ndarray, rows: int, dim: int) -> np.ndarray:
     return vectors
 
 
-def _embed_slice(embedder: Embedder, texts: list[str], fail: bool):
-    """Vectors and errors of one request; a failed one is retried text by text."""
-    try:
-        return _checked(embedder.embed(texts), len(texts), embedder.dim), [None] * len(texts)
-    except Exception:
-        vectors = np.full((len(texts), embedder.dim), np.nan, dtype=np.float32)
-        errors: list[str | None] = [None] * len(texts)
-        for i, text in enumerate(texts):
-            try:
-                vectors[i] = _checked(embedder.embed([text]), 1, embedder.dim)[0]
-            except Exception as exc:
-                if fail:
-                    raise RuntimeError(f"no embedding for the text at index {i}") from exc
-                errors[i] = f"{type(exc).__name__}: {exc}"
-        return vectors, errors
+IN_FLIGHT = 4  # requests a task keeps running at once
+RETRIES, BACKOFF = 1, 0.1  # a failed request is sent once more after 0.1 s (doubling)
+
+
+def _embed_slice(embedder: Embedder, texts: list[str], fail: bool, retries: int = 0, backoff: float = BACKOFF):
+    """Vectors and errors of one request. A failed one is sent again `retries` times with
+    a doubling pause, then text by text."""
+    for attempt in range(retries + 1):
+        try:
+            return _checked(embedder.embed(texts), len(texts), embedder.dim), [None] * len(texts)
+        except Exception:
+            if attempt < retries:
+                time.sleep(backoff * 2**attempt)
+    vectors = np.full((len(texts), embedder.dim), np.nan, dtype=np.float32)
+    errors: list[str | None] = [None] * len(texts)
+    for i, text in enumerate(texts):
+        try:
+            vectors[i] = _checked(embedder.embed([text]), 1, embedder.dim)[0]
+        except Exception as exc:
+            if fail:
+                raise RuntimeError(f"no embedding for the text at index {i}") from exc
+            errors[i] = f"{type(exc).__name__}: {exc}"
+    return vectors, errors
 
 
 def _as_arrow(vectors: np.ndarray, errors: list[str | None]) -> pa.StructArray:
@@ -109,25 +119,46 @@ def _as_arrow(vectors: np.ndarray, errors: list[str | None]) -> pa.StructArray:
     )
 
 
-def embedding_of(text: Column, embedder: Embedder, batch_size: int, fail: bool = True) -> Column:
+def in_order(requests: Iterator, in_flight: int, pool: ThreadPoolExecutor) -> Iterator:
+    """Results of calls `(fn, *args)` in the order given, with at most `in_flight` running
+    and the next sent as soon as the oldest is taken."""
+    window: deque = deque()
+    for fn, *args in requests:
+        if len(window) >= in_flight:
+            yield window.popleft().result()
+        window.append(pool.submit(fn, *args))
+    while window:
+        yield window.popleft().result()
+
+
+def embedding_of(
+    text: Column, embedder: Embedder, batch_size: int, fail: bool = True, in_flight: int = IN_FLIGHT,
+    retries: int = RETRIES,
+) -> Column:
     """Struct of the vector of a text, and of the error when there is none.
 
-    Texts are stripped first and go to the embedder `batch_size` at a time.
+    Texts are stripped first and go to the embedder `batch_size` at a time; each task keeps
+    `in_flight` requests running, so that its slot does not wait for one answer at a time,
+    and puts the answers back in order. A failed request is retried with back-off.
     """
 
     @F.arrow_udf(RESULT)
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = batch.to_pylist()
-            if not texts:
-                yield _as_arrow(np.zeros((0, embedder.dim), np.float32), [])
-                continue
-            vectors, errors = [], []
-            for start in range(0, len(texts), batch_size):
-                v, e = _embed_slice(embedder, texts[start : start + batch_size], fail)
-                vectors.append(v)
-                errors.extend(e)
-            yield _as_arrow(np.concatenate(vectors), errors)
+        with ThreadPoolExecutor(max(1, in_flight)) as pool:
+            for batch in batches:
+                texts = batch.to_pylist()
+                if not texts:
+                    yield _as_arrow(np.zeros((0, embedder.dim), np.float32), [])
+                    continue
+                asked = (
+                    (_embed_slice, embedder, texts[start : start + batch_size], fail, retries)
+                    for start in range(0, len(texts), batch_size)
+                )
+                vectors, errors = [], []
+                for v, e in in_order(asked, max(1, in_flight), pool):
+                    vectors.append(v)
+                    errors.extend(e)
+                yield _as_arrow(np.concatenate(vectors), errors)
 
     # Marked so that a filter on the result is not pushed below it, which would embed
     # every text a second time.
@@ -154,10 +185,10 @@ def embed_column(
     embedder: Embedder,
     batch_size: int = 32,
     on_error: str = "fail",
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
-    """Add `embedding` and `embed_error`. As many requests run at once as the input
-    has partitions and the cluster has slots."""
-    result = embedding_of(F.col(text), embedder, batch_size, on_error == "fail")
+    """Add `embedding` and `embed_error`. Each task keeps `in_flight` requests running."""
+    result = embedding_of(F.col(text), embedder, batch_size, on_error == "fail", in_flight)
     return (
         docs.withColumn("_e", result)
         .withColumn("embedding", F.col("_e.vector"))

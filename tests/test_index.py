@@ -310,3 +310,39 @@ def test_many_batches_are_few_runs(spark, table, tmp_path, monkeypatch):
     ingest_stream(table, stream, "s", str(tmp_path / "c")).awaitTermination()
     assert contents(table) == [(f"r{i}", f"text {i}") for i in range(8)]
     assert len(table.manifest().runs) <= 4
+
+
+class Slow(HashEmbedder):
+    """Takes its time and tells, in the first place of each vector, how many requests of
+    its process were running when it answered."""
+
+    def __init__(self, dim, pause):
+        super().__init__(dim)
+        self.pause = pause
+
+    def embed(self, texts):
+        import threading
+        import time
+
+        # One counter per worker process, made there (a lock does not pickle).
+        state = threading.__dict__.setdefault("_slow_embedder", {"lock": threading.Lock(), "running": 0})
+        with state["lock"]:
+            state["running"] += 1
+            now = state["running"]
+        time.sleep(self.pause)
+        out = super().embed(texts)
+        with state["lock"]:
+            state["running"] -= 1
+        out[:, 0] = now
+        return out
+
+
+def test_requests_in_flight(spark):
+    texts = spark.createDataFrame([(i, f"text number {i}") for i in range(120)], "id bigint, content string").coalesce(1)
+    got = embed_column(texts, "content", Slow(8, 0.05), batch_size=2, in_flight=3).orderBy("id").collect()
+    seen = [r.embedding[0] for r in got]
+    assert max(seen) == 3 and min(seen) >= 1  # three at once, never more
+    plain = HashEmbedder(8).embed([r.content for r in got])
+    assert [list(r.embedding[1:]) for r in got] == [list(v[1:]) for v in plain]  # in order
+    one = embed_column(texts, "content", Slow(8, 0.0), batch_size=2, in_flight=1).collect()
+    assert max(r.embedding[0] for r in one) == 1
