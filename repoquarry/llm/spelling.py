@@ -45,7 +45,11 @@ RUN = "[A-Za-zÀ-ÿ]+"
 SLIP_EVERY = 199
 MIN_CHARS, MIN_COUNT, FORM_RATIO = 6, 5, 5
 
-K, N1, N2 = 2, 2, 6  # distance, partitions, parts of each
+# Distance, partitions, parts of each. One partition of six parts (each word signs the 15
+# choices of 4 parts) was measured on the 56,518 words of sf0.1 against two of six (12
+# choices of 5 parts of a half): 7.5 million candidate pairs instead of 40.7 million, the
+# same 159,416 near pairs, a ninth of the time. Wider signatures meet fewer strangers.
+K, N1, N2 = 2, 1, 6
 HOT = 256  # words that share a signature before it is refined
 _K2 = -(-(K + 1) // N1) - 1
 
@@ -112,7 +116,8 @@ def _pairs(posts: DataFrame) -> DataFrame:
     """(a, b): words that share a key, of equal length with a < b, or b one longer."""
     a = posts.select("_key", F.col("_len").alias("_la"), F.col("word").alias("a"))
     b = posts.select("_key", F.col("_len").alias("_lb"), F.col("word").alias("b"))
-    met = a.join(b, "_key").where(
+    # Both sides grow with the vocabulary: never broadcast on an estimate.
+    met = a.join(b.hint("merge"), "_key").where(
         ((F.col("_la") == F.col("_lb")) & (F.col("a") < F.col("b"))) | (F.col("_lb") == F.col("_la") + 1)
     )
     return met.select("a", "b")
