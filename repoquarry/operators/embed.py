@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
@@ -53,12 +53,14 @@ class HashEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for row, text in zip(out, texts, strict=True):
-            counts = Counter(_TOKEN.findall(text.lower()))
-            hashes = np.fromiter(map(_hash_of, counts), np.int64, len(counts))
-            weights = np.fromiter(counts.values(), np.int64, len(counts))
-            row += np.bincount(hashes % self.dim, weights, self.dim)
+        """One bincount over the whole batch: token hashes of all texts flattened, each
+        offset by its row times `dim`."""
+        found = [_TOKEN.findall(text.lower()) for text in texts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        hashes = np.fromiter((_hash_of(t) for tokens in found for t in tokens), np.int64, int(lengths.sum()))
+        rows = np.repeat(np.arange(len(found), dtype=np.int64), lengths)
+        cells = rows * self.dim + hashes % self.dim
+        out = np.bincount(cells, minlength=len(found) * self.dim).astype(np.float64).reshape(len(found), self.dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
 
