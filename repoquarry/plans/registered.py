@@ -116,10 +116,11 @@ def repo_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.human_bytes)
 def human_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.col("l_orderkey") * F.col("l_partkey") * F.pow(F.lit(64), F.col("l_linenumber") - 1)
+    # A double throughout: the product of large keys is beyond 64 bits.
+    size = F.col("l_orderkey").cast("double") * F.col("l_partkey") * F.pow(F.lit(64), F.col("l_linenumber") - 1)
     shown = table(spark, sf, "lineitem").select(
         text.human_bytes(F.col("l_orderkey")).alias("orderkey"),
-        text.human_bytes(size.cast("bigint")).alias("product"),
+        text.human_bytes(size).alias("product"),
     )
     return shown.groupBy("orderkey", "product").agg(F.count("*").alias("n"))
 
