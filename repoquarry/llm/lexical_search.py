@@ -7,17 +7,15 @@ documents, and for each document n (its terms) and m = 25 + (75 n N) div L. A te
 w = floor(1000 ln((2N + 2) / (2 df + 1))); a document scores, for each term of the query
 (repeats included), w * ((10^9 tf) div (1000 tf + 8 m)). All statistics are Spark sums.
 
-The tree. Documents are dealt to shards by a hash of their row; a shard's documents are
-cut down to the terms that some query holds (the restricted vector), ordered by descending
-corpus df, and inserted as paths of a trie, so that documents with the same frequent terms
-share a path. Each node keeps, over the documents below it, the largest tf of its own term,
-the largest tf of any later term, the largest rank below, and the smallest m. Terms of a
-lower rank missing on a node's path are absent from every document below it. So a node bounds
-the score of everything below: path terms at their maxima, later terms of the query at the
-smaller of the node's and the shard's maximum, all with the smallest m. The search goes
-depth first, best bound first, and leaves a subtree whose bound is below the k-th score
-found (equal bounds are searched, for the tie on doc_id). Each shard gives its exact top k
-per query; the top k of those is the answer.
+The tree. A shard is a batch of documents of a task. They are cut down to the terms that some
+query holds (the restricted vector), ordered by descending corpus df, and put in the order of
+the trie of these vectors, so that documents with the same frequent terms share a path and a
+node is a run of documents. A leaf, of LEAF documents at most, bounds the score of each by the
+largest gain of every term in it, an inner node by the largest bound of its children. All
+queries search together, as matrix products: depth first, best bound first; a subtree is left
+by the queries whose bound there is below the k-th score found, in this shard or an earlier
+one of the task (equal bounds are searched, for the tie on doc_id). Each task gives its exact
+top k per query; the top k of those is the answer.
 
 Queries go to the tasks in blocks of QUERY_BLOCK_BYTES at most; a larger query table is
 searched block after block. The query vocabulary meets the documents' terms as a broadcast
@@ -31,10 +29,11 @@ table gives an empty result. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,124 +46,217 @@ K = 10
 
 BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK_BYTES = 32 << 20
+MATRIX_BYTES = 16 << 20  # weights of the queries searched together, gains scored together
+LEAF = 256  # documents of a leaf
+DEPTH = 12  # ranks a path branches on at most
 
 
 def terms_of(text) -> F.Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(TERM), 0)
 
 
-def gain(tf: int, m: int) -> int:
+def gain(tf, m):
+    """Of whole numbers or of arrays of them."""
     return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
 class Tree:
-    """A trie of restricted term vectors (ranks ascending) with bounds at each node."""
-
-    def __init__(self):
-        self.rank, self.maxtf, self.deep, self.top, self.mmin = [-1], [0], [0], [-1], [1 << 62]
-        self.kids: list[dict[int, int]] = [{}]
-        self.ends: list[list[tuple]] = [[]]
-        self.gmax: dict[int, int] = {}
+    """The FP-tree of a shard's restricted term vectors (ranks ascending), laid out depth
+    first: a node is a run of documents that share a path of ranks, a leaf a run of at most
+    LEAF documents. Kept as flat arrays, so that bounds and scores are matrix products."""
+
+    def __init__(self) -> None:
+        self._added: list[tuple] = []
+        self._laid_out = False
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Tree:
+        """The tree of a batch (doc_id, m, [(rank, tf)])."""
+        tree, ids, vectors = cls(), batch.column(0), batch.column(2)
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        ranks, tfs = (x.to_numpy(zero_copy_only=False) for x in vectors.flatten().flatten())
+        tree._lay_out(
+            pc.fill_null(ids, 0).to_numpy(zero_copy_only=False),
+            ids.is_null().to_numpy(zero_copy_only=False),
+            batch.column(1).to_numpy(zero_copy_only=False),
+            lengths.astype(np.int64), ranks.astype(np.int64), tfs.astype(np.int64),
+        )
+        return tree
 
     def insert(self, row, m: int, ranks: list[int], tfs: list[int]) -> None:
-        after = [0] * (len(tfs) + 1)
-        for i in range(len(tfs) - 1, -1, -1):
-            after[i] = max(after[i + 1], tfs[i])
-        last = ranks[-1]
-        v = 0
-        self._touch(0, 0, after[0], last, m)
-        for i, (r, t) in enumerate(zip(ranks, tfs)):
-            child = self.kids[v].get(r)
-            if child is None:
-                child = len(self.rank)
-                self.kids[v][r] = child
-                self.rank.append(r)
-                self.maxtf.append(0), self.deep.append(0), self.top.append(-1), self.mmin.append(1 << 62)
-                self.kids.append({}), self.ends.append([])
-            self._touch(child, t, after[i + 1], last, m)
-            if t > self.gmax.get(r, 0):
-                self.gmax[r] = t
-            v = child
-        self.ends[v].append((row, m, tfs))
-
-    def _touch(self, v: int, tf: int, deep: int, last: int, m: int) -> None:
-        self.maxtf[v] = max(self.maxtf[v], tf)
-        self.deep[v] = max(self.deep[v], deep)
-        self.top[v] = max(self.top[v], last)
-        self.mmin[v] = min(self.mmin[v], m)
-
-    def bound(self, v: int, path: tuple, weights: dict[int, int], order: list[int]) -> int:
-        m, own = self.mmin[v], self.rank[v]
-        total = 0
-        for r, u in path:
-            w = weights.get(r)
-            if w:
-                total += w * gain(self.maxtf[u], m)
-        for r in order:  # the query's ranks, ascending
-            if r > self.top[v]:
-                break
-            if r > own:
-                total += weights[r] * gain(min(self.deep[v], self.gmax.get(r, 0)), m)
-        return total
+        self._added.append((row, m, ranks, tfs))
+        self._laid_out = False
+
+    def _lay_out(self, ids, null, ms, lengths, ranks, tfs) -> None:
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        heads = np.full((len(ids), DEPTH), -1, np.int64)  # a path that ends comes first
+        for depth in range(DEPTH):
+            longer = lengths > depth
+            heads[longer, depth] = ranks[starts[:-1][longer] + depth]
+        order = np.lexsort(heads.T[::-1])
+        self.ids, self.null, lengths = ids[order], null[order], lengths[order]
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.arange(self.starts[-1]) + np.repeat(starts[:-1][order] - self.starts[:-1], lengths)
+        self.row = np.repeat(np.arange(len(ids)), lengths)
+        self.ranks, tfs, m = ranks[at], tfs[at], ms[order][self.row]
+        self.gains = gain(tfs, m)
+        self.nodes: list[tuple[int, int, list[int]]] = []  # (first, end, children)
+        self._grow(heads[order], 0, len(ids), 0)
+        self._laid_out = True
+
+    def _grow(self, heads: np.ndarray, lo: int, hi: int, depth: int) -> int:
+        """Number of the node of documents lo to hi, which share `depth` ranks. Small children
+        that follow each other share a leaf; so do documents beyond DEPTH ranks."""
+        own, kids = len(self.nodes), []
+        self.nodes.append((lo, hi, kids))
+        if hi - lo <= LEAF:
+            return own
+        if depth == DEPTH:
+            ends = [*range(lo + LEAF, hi, LEAF), hi]
+        else:
+            change = np.flatnonzero(np.diff(heads[lo:hi, depth])) + lo + 1
+            ends = [*change.tolist(), hi]
+        start = held = lo
+        for end in ends:
+            if end - start > LEAF and held > start:
+                kids.append(self._grow(heads, start, held, DEPTH))
+                start = held
+            if end - start > LEAF:
+                kids.append(self._grow(heads, start, end, min(DEPTH, depth + 1)))
+                start = end
+            held = end
+        if held > start:
+            kids.append(self._grow(heads, start, held, DEPTH))
+        return own
 
     def search(self, weights: dict[int, int], k: int = K) -> list[tuple[int, object]]:
         """The k best (score, row) of this tree with score above 0: exact."""
-        order = sorted(weights)
-        best: list[tuple] = []  # heap of (order, score, row) for the k best so far
-
-        def floor():
-            return best[0][0][0] if len(best) >= k else 1
-
-        stack = [(self.bound(0, (), weights, order), 0, ())]
-        while stack:
-            b, v, path = stack.pop()
-            if b < floor():
+        best = _Best([(None, weights)], k)
+        if not self._laid_out:
+            rows, ms, ranks, tfs = zip(*self._added)
+            self._lay_out(
+                np.array([r or 0 for r in rows], np.int64), np.array([r is None for r in rows]), np.array(ms, np.int64),
+                np.array([len(x) for x in ranks], np.int64), np.concatenate(ranks).astype(np.int64),
+                np.concatenate(tfs).astype(np.int64),
+            )
+        best.search(self)
+        return [(score, row) for _, row, score in best.rows()]
+
+
+class _Best:
+    """The best k documents so far of some queries: higher score, then smaller id, a null id
+    last. Their weights are one matrix (term, query)."""
+
+    def __init__(self, queries: list[tuple[object, dict[int, int]]], k: int = K) -> None:
+        self.items, self.k = [item for item, _ in queries], k
+        self.terms = np.unique(np.array([r for _, weights in queries for r in weights], np.int64))
+        # All sums are whole numbers: exact in doubles below 2 ** 53, and else in integers.
+        most = max((sum(weights.values()) for _, weights in queries), default=0) * 1_000_000
+        self.number = np.float64 if most < 1 << 53 else np.int64
+        self.weights = np.zeros((len(self.terms), len(queries)), self.number)
+        for i, (_, weights) in enumerate(queries):
+            at = np.searchsorted(self.terms, np.fromiter(weights, np.int64, len(weights)))
+            self.weights[at, i] = np.fromiter(weights.values(), np.int64, len(weights))
+        self.floor = np.ones(len(queries), np.int64)  # below it a score is of no use
+        self.q = self.score = self.id = np.zeros(0, np.int64)
+        self.null = np.zeros(0, bool)
+
+    def search(self, tree: Tree) -> None:
+        """Branch and bound, depth first and best bound first."""
+        if not len(self.terms) or not len(tree.ranks):
+            return
+        column = np.minimum(np.searchsorted(self.terms, tree.ranks), len(self.terms) - 1)
+        known = np.flatnonzero(self.terms[column] == tree.ranks)
+        column, row, gains = column[known], tree.row[known], tree.gains[known].astype(self.number)
+        starts = np.searchsorted(row, np.arange(len(tree.ids) + 1))
+        bounds: list = [None] * len(tree.nodes)
+        for node in range(len(tree.nodes) - 1, -1, -1):  # children have the higher numbers
+            lo, hi, kids = tree.nodes[node]
+            if kids:
+                bounds[node] = np.maximum.reduce([bounds[kid] for kid in kids])
                 continue
-            ranks = [r for r, _ in path]
-            for row, m, tfs in self.ends[v]:
-                score = sum(weights.get(r, 0) * gain(t, m) for r, t in zip(ranks, tfs))
-                if score <= 0:
-                    continue
-                entry = (_order(score, row), score, row)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry[0] > best[0][0]:
-                    heapq.heapreplace(best, entry)
-            grown = []
-            for r, c in self.kids[v].items():
-                on = path + ((r, c),)
-                cb = self.bound(c, on, weights, order)
-                if cb > 0 and cb >= floor():
-                    grown.append((cb, c, on))
-            grown.sort(key=lambda x: x[0])
-            stack.extend(grown)
-        return sorted(((s, row) for _, s, row in best), key=lambda x: _rank_key(x[0], x[1]))
-
-
-def _order(score: int, doc_id) -> tuple:
-    """Larger is better: higher score, then smaller id, a null id last."""
-    return (score, doc_id is not None, -(doc_id or 0))
-
-
-def _rank_key(score: int, doc_id) -> tuple:
-    return (-score, doc_id is None, doc_id or 0)
+            # No document of a leaf gains more by a term than the largest gain in it.
+            part = slice(starts[lo], starts[hi])
+            held, at = np.unique(column[part], return_inverse=True)
+            most = np.zeros(len(held), self.number)
+            np.maximum.at(most, at, gains[part])
+            bounds[node] = most @ self.weights[held]
+        pending = [0]
+        while pending:
+            node = pending.pop()
+            lo, hi, kids = tree.nodes[node]
+            wanted = np.flatnonzero(bounds[node] >= self.floor)
+            if not len(wanted):
+                continue
+            if kids:
+                pending += sorted(kids, key=lambda kid: bounds[kid][wanted].max())
+                continue
+            part = slice(starts[lo], starts[hi])
+            held, at = np.unique(column[part], return_inverse=True)
+            weights = self.weights[np.ix_(held, wanted)]
+            step = max(1, MATRIX_BYTES // (8 * max(1, len(held))))
+            for first in range(lo, hi, step):
+                end = min(hi, first + step)
+                a, b = starts[first] - starts[lo], starts[end] - starts[lo]
+                vectors = np.zeros((end - first, len(held)), self.number)
+                vectors[row[part][a:b] - first, at[a:b]] = gains[part][a:b]
+                self._offer(tree, first, wanted, vectors @ weights)
+
+    def _offer(self, tree: Tree, first: int, wanted: np.ndarray, scores: np.ndarray) -> None:
+        scores = scores.astype(np.int64)
+        limit = self.floor[wanted]
+        if len(scores) >= self.k:
+            limit = np.maximum(limit, np.partition(scores, -self.k, axis=0)[-self.k])
+        rows, which = np.nonzero(scores >= limit)
+        if not len(rows):
+            return
+        q = np.concatenate([self.q, wanted[which]])
+        score = np.concatenate([self.score, scores[rows, which]])
+        id = np.concatenate([self.id, tree.ids[first + rows]])
+        null = np.concatenate([self.null, tree.null[first + rows]])
+        order = np.lexsort((id, null, -score, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        kept = place < self.k
+        self.q, order = q[kept], order[kept]
+        self.score, self.id, self.null = score[order], id[order], null[order]
+        full = place[kept] == self.k - 1
+        self.floor[self.q[full]] = self.score[full]
+
+    def rows(self) -> list[tuple]:
+        """(item, document, score), best first within an item."""
+        found = zip(self.q.tolist(), self.id.tolist(), self.null.tolist(), self.score.tolist())
+        return [(self.items[q], None if null else id, score) for q, id, null, score in found]
+
+
+def _together(queries: list[tuple[object, dict[int, int]]]) -> Iterator[list[tuple[object, dict[int, int]]]]:
+    """Queries in runs whose matrix of weights is within MATRIX_BYTES."""
+    run, terms = [], set()
+    for query in queries:
+        more = terms | query[1].keys()
+        if run and 8 * len(more) * (len(run) + 1) > MATRIX_BYTES:
+            yield run
+            run, more = [], set(query[1])
+        run.append(query)
+        terms = more
+    if run:
+        yield run
 
 
 def _searched(queries: list[tuple[object, dict[int, int]]]):
+    """Function for mapInArrow: each batch of documents is a shard with a tree of its own, and
+    what the queries have found in one bounds the search of the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree()
+        every = [_Best(run) for run in _together(queries)]
         for batch in batches:
-            ids, ms, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for doc_id, m, vector in zip(ids, ms, vectors):
-                if vector:
-                    tree.insert(doc_id, m, [x["rank"] for x in vector], [x["tf"] for x in vector])
-        out = ([], [], [])
-        for item_id, weights in queries:
-            for score, doc_id in tree.search(weights):
-                out[0].append(item_id), out[1].append(doc_id), out[2].append(score)
+            if batch.num_rows:
+                tree = Tree.of(batch)
+                for best in every:
+                    best.search(tree)
+        out = [row for best in every for row in best.rows()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())],
-            ["item_id", "doc_id", "score"],
+            [pa.array([row[i] for row in out], pa.int64()) for i in range(3)], ["item_id", "doc_id", "score"]
         )
 
     return run

@@ -279,3 +279,38 @@ def test_tree_prunes_and_stays_exact():
         exact = sorted((-sum(w * gain(v.get(r, 0), m) for r, w in weights.items()), d) for d, (m, v) in vectors.items())
         want = [(-s, d) for s, d in exact if s < 0][:10]
         assert tree.search(weights) == want
+
+
+def test_long_queries_over_shards_in_bounded_work():
+    """Verbose queries over documents that hold most of their terms: one shard after another, as
+    a task meets them, exact and within seconds (a search per query and node took minutes)."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from repoquarry.llm import lexical_search as ls
+
+    rng = np.random.default_rng(11)
+    docs = []
+    for d in range(3000):
+        ranks = np.unique((rng.random(80) ** 3 * 400).astype(int)).tolist()
+        docs.append((None if d % 500 == 7 else d // 2, int(rng.integers(30, 200)), [{"rank": r, "tf": int(rng.integers(1, 6))} for r in ranks]))
+    docs += [(9000, 50, []), (9001, 50, None)] + [(9100 + i, 50, [{"rank": 3, "tf": 2}]) for i in range(600)]
+    asks = [(i, {int(r): int(rng.integers(1, 3000)) for r in rng.choice(400, 40, replace=False)}) for i in range(60)]
+    asks += [(None, {3: 7}), (99, {10**12: 5})]
+    kind = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("_v", pa.list_(pa.struct([("rank", pa.int64()), ("tf", pa.int64())])))])
+    batches = [
+        pa.RecordBatch.from_pydict(dict(zip(kind.names, map(list, zip(*docs[s : s + 900])))), schema=kind)
+        for s in range(0, len(docs), 900)
+    ]
+    before = time.process_time()
+    out = list(ls._searched(asks)(iter(batches)))
+    assert time.process_time() - before < 20
+    got = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = []
+    for item, weights in asks:
+        scored = ((sum(weights.get(x["rank"], 0) * ls.gain(x["tf"], m) for x in v or ()), d) for d, m, v in docs)
+        best = sorted((-s, d is None, d or 0) for s, d in scored if s > 0)[:10]
+        want += [(item, None if null else d, -s) for s, null, d in best]
+    assert got == want and len(got) > 600
