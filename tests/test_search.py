@@ -258,3 +258,27 @@ def test_exact_clusters_with_proof(spark, clustered):
     assert sum(read.values()) < 12 * len(read)
     odd = spark.createDataFrame([(1, [0.0] * 16), (2, None)], QUERIES)
     assert found(approx.search_clusters_exact(spark, path, odd, 3, probes=1)) == found(search.nearest(corpus, odd, 3))
+
+
+def test_grid_moves_no_packed_queries(spark, clustered):
+    """Beyond the broadcast limit a row meets single queries, never a packed block of them;
+    with cells, in small batches and blocks, the grid finds what the broadcast finds."""
+    corpus, queries, exact = clustered
+    nth = F.array(F.col("id") % 7, F.col("id") % 5 + 10)
+    celled = corpus.withColumn("cell", F.explode(nth)).union(corpus.where("id < 0").withColumn("cell", F.lit(99).cast("bigint")))
+    q = F.col("query_id")
+    asked = queries.withColumn("cells", F.array(q % 7, (q + 1) % 7, q % 5 + 10, F.lit(-1).cast("bigint")))
+    best = lambda **limits: found(
+        search.rank_candidates(
+            search.search_blocks(celled, asked, 4, **limits).groupBy("query_id", "id").agg(F.min("distance").alias("distance")), 4
+        )
+    )
+    want = best()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        assert best(broadcast_bytes=0, block_bytes=700) == want and len(want) == 48
+        grid = search.search_blocks(corpus, queries, 5, block_bytes=700, broadcast_bytes=0)
+        assert "q_vectors" not in grid._jdf.queryExecution().executedPlan().toString()
+        assert found(search.rank_candidates(grid, 5)) == exact
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
