@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repoquarry.operators.search import QUERY_BLOCK_BYTES, rank_candidates, search_blocks
-from repoquarry.session import materialise
+from repoquarry.operators.search import QUERY_BLOCK_BYTES, matrix, per_group, rank_candidates, search_blocks
+from repoquarry.session import materialise, task_count
 from repoquarry.sources.storage import delete_path
 
 PARTS = 64
@@ -363,23 +363,120 @@ def build_multiprobe(corpus: DataFrame, path: str, tables: int = 8, bits: int |
 
 
 def search_multiprobe(spark: SparkSession, path: str, corpus: DataFrame, queries: DataFrame, k: int = 2,
-                      probes: int = 4) -> DataFrame:
+                      probes: int = 4, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Approximate `nearest` by the postings of `build_multiprobe`: each query reads `probes`
-    cells a table, nearest first; only then are the vectors of its candidates fetched by id
-    from `corpus(id, embedding)` and compared exactly. (query_id, id, distance, rank,
-    compared), `compared` the candidates of the query."""
-    from repoquarry.functions.vector import cosine_distance
+    cells a table, nearest first; its candidates in `corpus(id, embedding)` are compared
+    exactly. (query_id, id, distance, rank, compared), `compared` the candidates of the query.
 
+    Candidates are pairs of ids on a grid of query blocks and corpus shards, each of about
+    `block_bytes` of vectors, which go to every shard and block once; no pair carries them.
+    """
     planes = Planes(*spark.read.parquet(f"{path}/hash").select("dim", "tables", "bits").first())
     known = queries.where(F.col("embedding").isNotNull())
     asked = materialise(known.select("query_id", "embedding", probed_cells(planes, probes)("embedding").alias("cells")), "asked")
-    wanted = asked.select("query_id", F.explode("cells").alias("cell")).withColumn("part", _part(F.col("cell")))
+    wanted = asked.where(F.col("query_id").isNotNull()).select("query_id", F.explode("cells").alias("cell"))
+    wanted = wanted.withColumn("part", _part(F.col("cell")))
     parts = [r.part for r in wanted.select("part").distinct().collect()]  # PARTS at most
     postings = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts))
-    met = wanted.join(postings, ["part", "cell"]).select("query_id", "id").distinct()
-    met = materialise(met, "candidates")
-    sizes = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("compared"))
-    vectors = corpus.select("id", F.col("embedding").alias("_v")).join(met.select("id").distinct(), "id", "left_semi")
-    pairs = met.join(vectors, "id").join(asked.select("query_id", F.col("embedding").alias("_q")), "query_id")
-    measured = pairs.select("query_id", "id", cosine_distance(F.col("_q"), F.col("_v")).alias("distance"))
-    return rank_candidates(measured, k).join(sizes, "query_id")
+    held = corpus.where(F.col("embedding").isNotNull() & F.col("id").isNotNull())
+    rows = max(1, block_bytes // (planes.dim * 4))
+    blocks = max(1, -(-asked.count() // rows))
+    shards = max(1, -(-held.count() // rows), -(-2 * task_count(spark) // blocks))
+    block, shard = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(shards))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    none, vector = F.lit(None).cast("bigint"), F.col("embedding").cast("array<double>").alias("embedding")
+    asks = asked.where(F.col("query_id").isNotNull()).select(
+        block.alias("block"), every(shards).alias("shard"), F.lit(0).alias("kind"), "query_id", none.alias("id"), vector
+    )
+    has = held.select(every(blocks).alias("block"), shard.alias("shard"), F.lit(1).alias("kind"), none.alias("query_id"), "id", vector)
+    met = wanted.join(postings, ["part", "cell"]).select(
+        block.alias("block"), shard.alias("shard"), F.lit(2).alias("kind"), "query_id", "id",
+        F.lit(None).cast("array<double>").alias("embedding"),
+    )
+    grid = asks.unionByName(has).unionByName(met)
+    grid = grid.repartition(max(2 * task_count(spark), blocks * shards), "block", "shard")
+    grid = grid.sortWithinPartitions("block", "shard", "kind", "query_id", "id")
+    found = grid.mapInArrow(_measured(planes.dim, k), "query_id bigint, id bigint, distance double, met bigint")
+    # A query has a row with the number of its candidates for each shard, behind what is found.
+    own = Window.partitionBy("query_id")
+    best = own.orderBy(F.col("met") > 0, "distance", "id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).withColumn("compared", F.sum("met").over(own))
+    return ranked.where((F.col("met") == 0) & (F.col("rank") <= k)).select("query_id", "id", "distance", "rank", "compared")
+
+
+def _measured(dim: int, k: int):
+    """Function for mapInArrow over (block, shard, kind, query_id, id, embedding) in that order:
+    queries (kind 0), then rows (1), then candidates (2), of which the same follow each other.
+    Gives the best k of each query and the number of its candidates."""
+
+    def placed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors a dimension a row, and norms, summed in the order of `cosine_distance`."""
+        ids = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in parts)])
+        vectors = np.ascontiguousarray(np.concatenate([np.zeros((0, dim)), *(v for _, v in parts)]).T)
+        squares = np.zeros(len(ids))
+        for row in vectors:
+            squares += row * row
+        return ids, vectors, np.sqrt(squares)
+
+    def pairs_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in `keys`, and in the sorted `ids`, of equal values."""
+        first, end = np.searchsorted(ids, keys, "left"), np.searchsorted(ids, keys, "right")
+        times = end - first
+        at = np.repeat(np.arange(len(keys)), times)
+        return at, first[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+
+    def best_of(q, ids, d):
+        order = np.lexsort((ids, d, q))  # NaN sorts last
+        q, ids, d = q[order], ids[order], d[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+        return q[kept], ids[kept], d[kept]
+
+    def compare(asks, rows, query_ids, ids, null):
+        real = np.flatnonzero(~null)
+        a, at = pairs_of(query_ids[real], asks[0])
+        b, row = pairs_of(ids[real][a], rows[0])
+        ask = at[b]
+        total = np.zeros(len(ask))
+        for x, y in zip(asks[1], rows[1]):
+            total += x[ask] * y[row]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            norms = asks[2][ask] * rows[2][row]
+            d = np.where(norms == 0, np.nan, 1.0 - total / norms)
+        return best_of(asks[0][ask], rows[0][row], d)
+
+    def result(found: list, counted: list) -> Iterator[pa.RecordBatch]:
+        q, ids, d = best_of(*(np.concatenate(x) for x in zip(*found)))
+        names = ["query_id", "id", "distance", "met"]
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(d), pa.array(np.zeros(len(q), np.int64))], names)
+        q, of = np.unique(np.concatenate([x for x, _ in counted]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([n for _, n in counted])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.nulls(len(q), pa.int64()), pa.nulls(len(q), pa.float64()), pa.array(n)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sides, ready, found, counted, last = None, ([], []), None, [], [], None
+        for batch in batches:
+            for (*group, kind), part in per_group(batch, ["block", "shard", "kind"]):
+                if group != current:
+                    if found:
+                        yield from result(found, counted)
+                    current, sides, ready, found, counted, last = group, ([], []), None, [], [], None
+                if kind < 2:
+                    ids = part.column("id" if kind else "query_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                    sides[kind].append((ids, matrix(part.column("embedding"), dim)))
+                    continue
+                if ready is None:
+                    ready, sides = (placed(sides[0]), placed(sides[1])), ([], [])
+                q = part.column("query_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                null = part.column("id").is_null().to_numpy(zero_copy_only=False)
+                ids = part.column("id").fill_null(0).to_numpy(zero_copy_only=False)
+                new = np.ones(len(q), bool)
+                new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
+                new[0] = (q[0], ids[0], null[0]) != last
+                last = (q[-1], ids[-1], null[-1])
+                q, ids, null = q[new], ids[new], null[new]
+                counted.append(np.unique(q, return_counts=True))
+                found.append(compare(*ready, q, ids, null))
+        if found:
+            yield from result(found, counted)
+
+    return run
