@@ -17,7 +17,7 @@ from repoquarry.params import SOURCE_STAMP, IndexParams
 from repoquarry.plans import derived, jobs, oracle
 from repoquarry.plans.derived import commit_of, file_rows, repo_texts, table
 from repoquarry.schemas import META_SCHEMA
-from repoquarry.session import explode_all, scratch_path
+from repoquarry.session import explode_all, materialise, scratch_path
 from repoquarry.sources import repo_files
 from repoquarry.sources.documents import as_documents
 from repoquarry.sources.index_table import IndexTable
@@ -518,16 +518,18 @@ def knn_multiprobe_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of the multi-probe search against the exact one, and the share of rows each
     query compares, for 2 to 32 cells a table."""
     rows, queries = _vectors(spark, sf)
-    exact = search.nearest(rows, queries, k=5).select("query_id", "id")
+    exact = materialise(search.nearest(rows, queries, k=5).select("query_id", "id"), "exact")
     path = scratch_path(spark, "multiprobe")
     approx.build_multiprobe(rows, path)
     total = rows.where(F.col("embedding").isNotNull()).count()
+    wanted = exact.count()
     measured = []
     for probes in (2, 8, 32):
         found = approx.search_multiprobe(spark, path, rows, queries, k=5, probes=probes)
+        found = materialise(found.select("query_id", "id", "compared"), "found")
         hits = exact.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").count()
         share = found.select("query_id", "compared").distinct().agg(F.avg("compared")).first()[0] or 0.0
-        measured.append((probes, hits / max(1, exact.count()), share / max(1, total)))
+        measured.append((probes, hits / max(1, wanted), share / max(1, total)))
     return spark.createDataFrame(measured, "probes int, recall double, share double")
 
 

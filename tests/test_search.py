@@ -302,3 +302,26 @@ def test_multiprobe_on_a_grid(spark, clustered):
         want |= {(q.query_id, rank, i, len(met)) for rank, (_, _, i) in enumerate(near[:3], 1)}
     got = approx.search_multiprobe(spark, path, corpus, queries, 3, probes=4, block_bytes=900).collect()
     assert {(r.query_id, r["rank"], r.id, r.compared) for r in got} == want and len(got) == len(want)
+
+
+def test_recall_computes_the_truth_once(spark, monkeypatch, tmp_path):
+    from repoquarry.plans import registered
+
+    vecs = spark.createDataFrame([(i, v, 0) for i, v in vectors(4, 60)], "vec_id bigint, embedding array<float>, label int")
+    vecs.write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = spark.sparkContext.accumulator(0)
+    real = search.nearest
+
+    def counted(*args, **options):
+        def seen(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        out = real(*args, **options)
+        return out.mapInArrow(seen, out.schema)
+
+    monkeypatch.setattr(registered.search, "nearest", counted)
+    got = registered.QUERIES["knn_multiprobe_recall"](spark, str(tmp_path)).collect()
+    assert [r.probes for r in got] == [2, 8, 32] and got[2].recall > 0.9
+    assert made.value == 300
