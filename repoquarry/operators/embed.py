@@ -88,15 +88,16 @@ IN_FLIGHT = 4  # requests a task keeps running at once
 RETRIES, BACKOFF = 1, 0.1  # a failed request is sent once more after 0.1 s (doubling)
 
 
-def _embed_slice(embedder: Embedder, texts: list[str], fail: bool, retries: int = 0, backoff: float = BACKOFF):
-    """Vectors and errors of one request. A failed one is sent again `retries` times with
-    a doubling pause, then text by text."""
-    for attempt in range(retries + 1):
-        try:
-            return _checked(embedder.embed(texts), len(texts), embedder.dim), [None] * len(texts)
-        except Exception:
-            if attempt < retries:
-                time.sleep(backoff * 2**attempt)
+def _answer(embedder: Embedder, texts: list[str]) -> np.ndarray | None:
+    """Vectors of one request, None if it fails."""
+    try:
+        return _checked(embedder.embed(texts), len(texts), embedder.dim)
+    except Exception:
+        return None
+
+
+def _text_by_text(embedder: Embedder, texts: list[str], fail: bool):
+    """Vectors and errors of a request that keeps failing, a text at a time."""
     vectors = np.full((len(texts), embedder.dim), np.nan, dtype=np.float32)
     errors: list[str | None] = [None] * len(texts)
     for i, text in enumerate(texts):
@@ -141,25 +142,34 @@ def embedding_of(
 
     Texts are stripped first and go to the embedder `batch_size` at a time; each task keeps
     `in_flight` requests running, so that its slot does not wait for one answer at a time,
-    and puts the answers back in order. A failed request is retried with back-off.
+    and puts the answers back in order. The failed requests of a batch are sent again
+    together, after one pause that doubles with each attempt, then text by text.
     """
 
     @F.arrow_udf(RESULT)
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with ThreadPoolExecutor(max(1, in_flight)) as pool:
             for batch in batches:
-                texts = batch.to_pylist()
-                if not texts:
+                if not len(batch):
                     yield _as_arrow(np.zeros((0, embedder.dim), np.float32), [])
                     continue
-                asked = (
-                    (_embed_slice, embedder, texts[start : start + batch_size], fail, retries)
-                    for start in range(0, len(texts), batch_size)
-                )
-                vectors, errors = [], []
-                for v, e in in_order(asked, max(1, in_flight), pool):
-                    vectors.append(v)
-                    errors.extend(e)
+                starts = range(0, len(batch), batch_size)
+
+                def sent(fn, which, *args):
+                    requests = ((fn, embedder, batch.slice(starts[i], batch_size).to_pylist(), *args) for i in which)
+                    return zip(which, in_order(requests, max(1, in_flight), pool))
+
+                vectors = [answer for _, answer in sent(_answer, range(len(starts)))]
+                errors: list[str | None] = [None] * len(batch)
+                for attempt in range(retries + 1):
+                    failed = [i for i, answer in enumerate(vectors) if answer is None]
+                    if not failed or attempt == retries:
+                        break
+                    time.sleep(BACKOFF * 2**attempt)
+                    for i, answer in sent(_answer, failed):
+                        vectors[i] = answer
+                for i, (answer, own) in sent(_text_by_text, failed, fail):
+                    vectors[i], errors[starts[i] : starts[i] + len(own)] = answer, own
                 yield _as_arrow(np.concatenate(vectors), errors)
 
     # Marked so that a filter on the result is not pushed below it, which would embed

@@ -325,3 +325,24 @@ def test_recall_computes_the_truth_once(spark, monkeypatch, tmp_path):
     got = registered.QUERIES["knn_multiprobe_recall"](spark, str(tmp_path)).collect()
     assert [r.probes for r in got] == [2, 8, 32] and got[2].recall > 0.9
     assert made.value == 300
+
+
+def test_failed_requests_share_a_pause(spark):
+    import time
+
+    from repoquarry.operators.embed import embed_column
+
+    class Refuses:
+        dim = 2
+
+        def embed(self, texts):
+            if len(texts) > 1:
+                raise ValueError("one at a time")
+            return [[1.0, 1.0]]
+
+    docs = spark.range(3000).select("id", F.col("id").cast("string").alias("text")).coalesce(1)
+    embed_column(docs.limit(10), "text", Refuses(), 5, "quarantine").collect()
+    before = time.time()
+    done = embed_column(docs, "text", Refuses(), 5, "quarantine")
+    assert done.where("embedding IS NOT NULL AND embed_error IS NULL").count() == 3000
+    assert time.time() - before < 8  # 600 pauses of 0.1 s, four at a time, were 15 s
