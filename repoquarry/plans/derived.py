@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,15 +102,20 @@ def code_like(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", code.alias("text"))
 
 
+_WRITE_ROWS = 64  # texts in Python at once
+
+
 def _writer(root: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                path = os.path.join(root, row.repo_url, row.rel)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "w", encoding="utf-8", newline="") as file:
-                    file.write(row.text)
-            yield batch[["repo_url", "commit"]]
+            for start in range(0, batch.num_rows, _WRITE_ROWS):
+                part = batch.slice(start, _WRITE_ROWS)
+                for repo_url, rel, text in zip(*(part.column(c).to_pylist() for c in ("repo_url", "rel", "text"))):
+                    path = os.path.join(root, repo_url, rel)
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(path, "w", encoding="utf-8", newline="") as file:
+                        file.write(text)
+            yield batch.select(["repo_url", "commit"])
 
     return run
 
@@ -125,7 +130,7 @@ def write_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     written = (
         file_rows(spark, sf)
         .select("repo_url", "commit", "rel", "text")
-        .mapInPandas(_writer(root), "repo_url string, commit string")
+        .mapInArrow(_writer(root), "repo_url string, commit string")
         .distinct()
     )
     path = scratch_path(spark, "manifest")

@@ -26,6 +26,7 @@ _LISTED = (
 )
 _LIST_ROWS = 10_000
 _READ_ROWS = 256
+_READ_BYTES = 8 << 20
 _FILES_PER_TASK = 64  # at least, while there are fewer files than all slots could read
 _FOLDERS_PER_TASK = 1000  # at most
 
@@ -132,22 +133,22 @@ def list_files(manifest: DataFrame, split_levels: int = 2) -> DataFrame:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        # A batch holds names only; contents go out a few hundred files at a time.
-        for start in range(0, len(batch), _READ_ROWS):
-            part = batch.iloc[start : start + _READ_ROWS]
-            contents: list[bytes | None] = []
-            errors: list[str | None] = []
-            for root, rel in zip(part["root"], part["rel"], strict=True):
-                try:
-                    with open(os.path.join(root, rel), "rb") as file:
-                        contents.append(file.read())
-                    errors.append(None)
-                except OSError as exc:
-                    contents.append(None)
-                    errors.append(_error(exc))
-            yield part.drop(columns=["root", "error"], errors="ignore").assign(
-                content=contents, error=errors
-            )
+        # A batch holds names only; contents go out as soon as they are a few hundred files
+        # or a few megabytes.
+        start, contents, errors, held = 0, [], [], 0
+        for n, (root, rel) in enumerate(zip(batch["root"], batch["rel"], strict=True), 1):
+            try:
+                with open(os.path.join(root, rel), "rb") as file:
+                    contents.append(file.read())
+                held += len(contents[-1])
+                errors.append(None)
+            except OSError as exc:
+                contents.append(None)
+                errors.append(_error(exc))
+            if n == len(batch) or n - start >= _READ_ROWS or held >= _READ_BYTES:
+                part = batch.iloc[start:n].drop(columns=["root", "error"], errors="ignore")
+                yield part.assign(content=contents, error=errors)
+                start, contents, errors, held = n, [], [], 0
 
 
 def read_files(files: DataFrame) -> DataFrame:

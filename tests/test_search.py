@@ -346,3 +346,22 @@ def test_failed_requests_share_a_pause(spark):
     done = embed_column(docs, "text", Refuses(), 5, "quarantine")
     assert done.where("embedding IS NOT NULL AND embed_error IS NULL").count() == 3000
     assert time.time() - before < 8  # 600 pauses of 0.1 s, four at a time, were 15 s
+
+
+def test_files_go_out_by_their_size(tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+
+    from repoquarry.plans import derived
+    from repoquarry.sources import repo_files
+
+    texts = ["é" * 1_500_000 + str(i) for i in range(9)] + ["x"] * 200
+    batch = pa.RecordBatch.from_pydict(
+        {"repo_url": ["r"] * 209, "commit": ["c"] * 209, "rel": [f"d{i % 3}/f{i}" for i in range(209)], "text": texts}
+    )
+    assert [b.column_names for b in derived._writer(str(tmp_path))(iter([batch]))] == [["repo_url", "commit"]]
+    names = pd.DataFrame({"root": [f"{tmp_path}/r"] * 210, "rel": [f"d{i % 3}/f{i}" for i in range(209)] + ["gone"]})
+    parts = list(repo_files._read(iter([names])))
+    assert [len(p) for p in parts] == [3, 3, 3, 201]
+    assert [c.decode() for p in parts for c in p["content"][: len(p) - (p is parts[-1])]] == texts
+    assert parts[-1]["error"].iloc[-1].startswith("FileNotFoundError")
