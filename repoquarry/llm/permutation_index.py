@@ -18,24 +18,27 @@ to the smaller id. A table without queries gives an empty result. Other columns
 read.
 
 A query set meets all blocks: the work is queries x vectors / blocks of small matrix steps,
-and each block hands on k rows a query. Tasks hold one block and one part of the queries.
+and each block hands on k rows a query. Single vectors are dealt to blocks and each query is
+copied to every block; a task gathers one block, then streams the queries past it, so a block
+moves once (or, where there are fewer blocks than slots, once for each slice of the queries).
 """
 
 from __future__ import annotations
 
-from typing import Any
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoquarry.session import materialise
+from repoquarry.operators.search import matrix, per_group
+from repoquarry.session import materialise, task_count
 
 PIVOTS = 256
 PREFIX = 64
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+ORDER_ROWS = 4096  # vectors ordered at once
 RERANK = 0.12
 LEAST = 256
 
@@ -64,26 +67,17 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(gaps, axis=1, kind="stable")[:, :prefix].astype(np.int16)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+def _ordered(pivots: np.ndarray, prefix: int):
+    """Function for mapInArrow that adds `_order` to (_id, _key, _v)."""
 
-
-def _pack(pivots: np.ndarray, prefix: int, name: str):
-    """A function that turns the rows of a block into one row of bytes."""
-
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_id", "_key"])
-        vectors = _matrix(rows["_v"])
-        order = orders(vectors, pivots, prefix)
-        return pd.DataFrame(
-            {
-                name: [key[0]],
-                "keys": [rows["_key"].to_numpy(np.int64).tobytes()],
-                "ids": [rows["_id"].to_numpy(np.int64).tobytes()],
-                "vectors": [vectors.tobytes()],
-                "orders": [order.tobytes()],
-            }
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ORDER_ROWS):
+                part = batch.slice(start, ORDER_ROWS)
+                order = orders(matrix(part.column("_v"), pivots.shape[1]), pivots, prefix)
+                offsets = np.arange(len(order) + 1, dtype=np.int32) * prefix
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "_order"])
 
     return run
 
@@ -111,47 +105,54 @@ def footrules(order: np.ndarray, files, size: int) -> np.ndarray:
     return total
 
 
-def _search(pivots: int, prefix: int, dim: int, k: int, share: float, least: int):
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in rows.itertuples(index=False):
-            keys = np.frombuffer(row.keys, np.int64)
-            ids = np.frombuffer(row.ids, np.int64)
-            vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, dim)
-            order = np.frombuffer(row.orders, np.int16).reshape(len(keys), -1)
-            files = inverted_files(order, pivots)
-            asked = np.frombuffer(row.q_vectors, np.float64).reshape(-1, dim)
-            asked_order = np.frombuffer(row.q_orders, np.int16).reshape(len(asked), -1)
-            query_keys = np.frombuffer(row.q_keys, np.int64)
-            query_ids = np.frombuffer(row.q_ids, np.int64)
-            depth = max(least, int(np.ceil(share * len(keys))))
-            for i in range(len(asked)):
-                near = np.arange(len(keys))
-                if depth < len(keys):
-                    rank = footrules(asked_order[i], files, len(keys))
-                    near = np.flatnonzero(rank <= np.partition(rank, depth - 1)[depth - 1])
-                near = near[keys[near] != query_keys[i]]
-                # The sum runs in the order of components, the same for every block.
-                score = np.sqrt(((vectors[near] - asked[i]) ** 2).sum(axis=1))
-                best = np.lexsort((keys[near], ids[near], score))[:k]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "_query": query_keys[i],
-                            "query_id": query_ids[i],
-                            "vec_id": ids[near[best]],
-                            "_key": keys[near[best]],
-                            "score": score[best],
-                        }
-                    )
-                )
-        return pd.concat(out) if out else pd.DataFrame(_EMPTY)
+_GROUP = ["_block", "_slice", "_asking"]
+_FOUND = "_query long, query_id long, vec_id long, _key long, score double"
+
+
+def _searcher(pivots: int, prefix: int, dim: int, k: int, share: float, least: int):
+    """Function for mapInArrow over (_block, _slice, _asking, _id, _key, _v, _order), sorted so
+    that the vectors of a block come before its queries."""
+
+    def arrays(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        keys, ids = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_id"))
+        return keys, ids, matrix(part.column("_v"), dim), matrix(part.column("_order"), prefix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, block = None, [], None
+        for batch in batches:
+            for (*group, asking), part in per_group(batch, _GROUP):
+                if group != current:
+                    current, held, block = group, [], None
+                if not asking:
+                    held.append(arrays(part))
+                    continue
+                if block is None:
+                    if not held:
+                        continue  # no vector fell into this block
+                    keys, ids, vectors, order = (np.concatenate(c) for c in zip(*held))
+                    block, held = (keys, ids, vectors, inverted_files(order, pivots)), []
+                yield _best(block, arrays(part), k, max(least, int(np.ceil(share * len(block[0])))))
 
     return run
 
 
-_RESULT = "_query long, query_id long, vec_id long, _key long, score double"
-_EMPTY = {name: [] for name in ("_query", "query_id", "vec_id", "_key", "score")}
+def _best(block, queries, k: int, depth: int) -> pa.RecordBatch:
+    """The k nearest found in a block of each query."""
+    keys, ids, vectors, files = block
+    out = []
+    for key, own, asked, order in zip(*queries):
+        near = np.arange(len(keys))
+        if depth < len(keys):
+            rank = footrules(order, files, len(keys))
+            near = np.flatnonzero(rank <= np.partition(rank, depth - 1)[depth - 1])
+        near = near[keys[near] != key]
+        # The sum runs in the order of components, the same for every block.
+        score = np.sqrt(((vectors[near] - asked) ** 2).sum(axis=1))
+        best = np.lexsort((keys[near], ids[near], score))[:k]
+        chosen = near[best]
+        out.append((np.full(len(best), key), np.full(len(best), own), ids[chosen], keys[chosen], score[best]))
+    names = ["_query", "query_id", "vec_id", "_key", "score"]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id",
@@ -174,27 +175,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = choose_pivots(rows, pivots)
     prefix = min(prefix, len(chosen))
-    packed = "keys binary, ids binary, vectors binary, orders binary"
-    block = F.pmod(F.xxhash64("_key"), F.lit(-(-count // block_rows)))
-    blocks = materialise(
-        rows.groupBy(block.alias("_block")).applyInPandas(
-            _pack(chosen, prefix, "_block"), f"_block long, {packed}"
-        ),
-        "blocks",
-    )
-    part = F.pmod(F.xxhash64("_key"), F.lit(-(-queries // QUERY_ROWS)))
-    asked = (
-        rows.where("_asks")
-        .groupBy(part.alias("_part"))
-        .applyInPandas(_pack(chosen, prefix, "_part"), f"_part long, {packed}")
-    )
-    asked = asked.select("_part", *[F.col(c).alias(f"q_{c}") for c in ("keys", "ids", "vectors", "orders")])
-    numbers = F.sequence(F.lit(0), F.lit(-(-count // block_rows) - 1)).cast("array<bigint>")
-    sent = asked.withColumn("_to", F.explode(numbers))
-    met = blocks.join(sent, F.col("_block") == F.col("_to"))
-    found = met.groupBy("_block", "_part").applyInPandas(
-        _search(len(chosen), prefix, dim, k, rerank, least), _RESULT
+    blocks = -(-count // block_rows)
+    slots = spark.sparkContext.defaultParallelism
+    slices = max(1, min(-(-4 * slots // blocks), queries))
+    placed = rows.select("_id", "_key", "_v").mapInArrow(
+        _ordered(chosen, prefix), "_id long, _key long, _v array<double>, _order array<smallint>"
     )
+    asked = rows.where("_asks").select("_id", "_key", "_v").mapInArrow(_ordered(chosen, prefix), placed.schema)
+    dealt = lambda n: F.pmod(F.xxhash64("_key"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    shape = ["_block", "_slice", "_asking", "_id", "_key", "_v", "_order"]
+    placed = placed.withColumn("_block", dealt(blocks)).withColumn("_slice", every(slices))
+    # Another seed: the hash of the key has chosen the block of a query as a vector.
+    slice_of = F.pmod(F.xxhash64(F.lit(1), "_key"), F.lit(slices))
+    asked = asked.withColumn("_block", every(blocks)).withColumn("_slice", slice_of)
+    met = placed.withColumn("_asking", F.lit(0)).select(shape).unionByName(asked.withColumn("_asking", F.lit(1)).select(shape))
+    met = met.repartition(max(task_count(spark), min(blocks * slices, 8 * slots)), "_block", "_slice")
+    met = met.sortWithinPartitions("_block", "_slice", "_asking")
+    found = met.mapInArrow(_searcher(len(chosen), prefix, dim, k, rerank, least), _FOUND)
     order = Window.partitionBy("_query").orderBy("score", "vec_id", "_key")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

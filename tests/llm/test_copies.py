@@ -293,6 +293,20 @@ def test_odd_vectors(spark):
     assert permutation_index.nearest(df.where("vec_id = 100"), F.lit(True)).collect() == []
 
 
+def test_vectors_move_once_for_many_queries(spark, capsys):
+    points = np.random.default_rng(5).normal(size=(1300, 8))
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(df, F.lit(True), k=3, block_rows=400, rerank=1.0, least=1)
+    far = ((points[:, None] - points[None]) ** 2).sum(-1)
+    np.fill_diagonal(far, np.inf)
+    want = {(i, n + 1, int(j)) for i, row in enumerate(far) for n, j in enumerate(np.argsort(row)[:3])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in got.collect()} == want
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "FlatMapGroups" not in plan  # no block is copied to parts of the queries
+
+
+
 # --- The pipeline --------------------------------------------------------------------
 
 
